@@ -42,8 +42,6 @@ PLAIN = set(" \t\n\r.,!?:;-–—«»„“”‘’\"'()[]{}…№%&/*+=<>@#$^_
 #: Lines that are drawn, if a piece has nothing else.
 FRAME = set("─│┌┐└┘├┤┬┴┼═║╔╗╚╝╠╣╦╩╬▀▄█░▒▓■.,;:!?()\"'")
 
-EDGES = ".,;:!?…—–-«»„“”‘’\"'()[]"
-
 #: What may be garbled: worth a closer look.
 SUSPECT = regex.compile(r"[\u0080-¦¨-¯²-ɏʰ-˿Ђ-Џђ-џҐґ†‡‰‹›€™∀-⌠─-◿ﬁﬂ�]|[а-яё][А-ЯЁ]|[А-ЯЁ]{2}|[Р-Т][\u0080-ÿ]|вЂ")
 
@@ -131,8 +129,6 @@ class Repairer:
         letters = [c for c in piece if c.isalpha()]
         if len(letters) > 2 and piece.upper() == piece:
             total += 4
-        elif not letters and not piece.isascii() and any(not c.isdigit() for c in piece.strip(EDGES)):
-            total += 12
         for at, c in enumerate(piece):
             code = _CODE.get(c, 0)
             if code:
@@ -179,11 +175,12 @@ class Repairer:
             known = []
             if not piece.isascii():
                 now = self.cost(piece)
+                lettered = any(c.isalpha() for c in piece)
                 drawn = all(c in FRAME for c in piece)  # no reason of its own to be decoded
                 for k, (view, true) in enumerate(PAIRS):
                     was = back(piece, view, true)
                     if was is not None:
-                        known.append((k, was, 0.0 if drawn else now - self.cost(was)))
+                        known.append((k, was, 0.0 if drawn else now - self.cost(was) - (12 if lettered and not any(c.isalpha() for c in was) else 0)))
             if len(self.decoded) > 100_000:
                 self.decoded.clear()
             self.decoded[piece] = known
