@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FLAGSHIP = "F01_normalize_palochka"
-MODULES: tuple[str, ...] = ("function_queries",)
+FLAGSHIP = "J01_lookup_default"
+MODULES: tuple[str, ...] = ("function_queries", "relational_queries")
 
 
 def queries() -> dict:
