@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "J01_lookup_default"
-MODULES: tuple[str, ...] = ("function_queries", "relational_queries")
+MODULES: tuple[str, ...] = ("function_queries", "relational_queries", "source_queries", "lexicon_queries")
 
 
 def queries() -> dict:

@@ -334,7 +334,7 @@ def j11(spark, d):
     return R.zip_by_position(a, b, ["user_id"], "a", "b").select("user_id", "n", "a", "b")
 
 
-_CW = "(select distinct word from common_words where word is not null and length(word) > 2)"
+_CW = "(select distinct word from common_words where word is not null and length(word) > 2 and lang <> 'eng')"
 
 
 #: DuckDB measures bytes; one byte for each letter makes that the distance in letters.
@@ -354,7 +354,7 @@ def near_words(unknown, known, most: int = 2):
 
 @C.add("J12_edit_distance", f"select c.word, t.word as candidate, {LEV} as distance from {_CW} c, {TR_SQL} t where {LEV} <= 2")
 def j12(spark, d):
-    common = table(spark, d, "common_words").where("length(word) > 2").select("word").distinct()
+    common = table(spark, d, "common_words").where("length(word) > 2 and lang <> 'eng'").select("word").distinct()
     return near_words(common, translations(spark, d))
 
 
@@ -416,9 +416,9 @@ _BI = f"(select doc, w1, w2 from (select pair_id doc, word w1, lead(word) over (
 
 def bigrams(df, key, col):
     """(key, w1, w2): neighbours within a text; no window is needed, as the words come as an array."""
-    w = W.model_words(F.col(col))
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.struct(F.get(w, i).alias("w1"), F.get(w, i + 1).alias("w2"))))
-    return df.select(key, F.explode(pairs).alias("b")).select(key, "b.w1", "b.w2")
+    d = df.select(key, W.model_words(F.col(col)).alias("__w")).where(F.size("__w") > 1)
+    n = F.size("__w") - 1
+    return d.select(key, F.explode(F.arrays_zip(F.slice("__w", F.lit(1), n).alias("w1"), F.slice("__w", F.lit(2), n).alias("w2"))).alias("b")).select(key, "b.w1", "b.w2")
 
 
 @C.add("J18_unseen_bigrams", f"""

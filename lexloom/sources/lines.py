@@ -22,7 +22,7 @@ def jsonl(lines: DataFrame, schema: str | T.StructType, keep: tuple[str, ...] =
     """Fields of JSON lines; blank lines, comments and broken lines are skipped."""
     text = schema if isinstance(schema, str) else schema.simpleString()
     row = F.from_json("value", text, {"mode": "PERMISSIVE"})
-    shape = F.col("value").rlike("^\\s*\\{.*\\}\\s*$")
+    shape = F.col("value").rlike("(?s)^\\s*\\{.*\\}\\s*$")
     return content(lines).where(shape).select(*keep, row.alias("r")).where("r is not null").select(*keep, "r.*")
 
 
@@ -73,6 +73,25 @@ def sniff(content_col: Column) -> Column:
     return F.when(head == "25504446", "pdf").when(head == "41542654", "djvu").when(head.startswith("504B"), "zip").when(head.isin("FFD8FFE0", "FFD8FFE1"), "jpeg").when(head == "89504E47", "png").otherwise("unknown")
 
 
+def _high(charset: str) -> str:
+    """The upper 128 characters of a one-byte encoding; unused bytes stand for themselves."""
+    out = []
+    for b in range(128, 256):
+        try:
+            out.append(bytes([b]).decode(charset))
+        except UnicodeDecodeError:
+            out.append(chr(b))
+    return "".join(out)
+
+
+_LATIN = "".join(map(chr, range(128, 256)))
+
+
 def decoded(content_col: Column, charset: str) -> Column:
-    """Text of a legacy encoding; the JVM knows the common ones by name."""
-    return F.decode(content_col, charset)
+    """Text of a one-byte legacy encoding, by a character table inside the JVM."""
+    return F.translate(F.decode(content_col, "ISO-8859-1"), _LATIN, _high(charset))
+
+
+def encoded(text_col: Column, charset: str) -> Column:
+    """The inverse of ``decoded``."""
+    return F.encode(F.translate(text_col, _high(charset), _LATIN), "ISO-8859-1")
