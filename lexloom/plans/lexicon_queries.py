@@ -328,7 +328,7 @@ def c17(spark, d):
 @C.add("C18_timeline", "select case when y < 1995 then 'early' when y < 1999 then 'middle' else 'late' end as era, count(*) as n, min(o_orderkey) as first_key from (select o_orderkey, coalesce(year(o_orderdate), 0) y from orders where o_orderpriority in ('1-URGENT', '2-HIGH')) group by era")
 def c18(spark, d):
     o = table(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
-    era = R.era_of(Q.YEAR, (("early", 0, 1995), ("middle", 1995, 1999), ("late", 1999, 9999)), closed=False)
+    era = R.era_of(Q.YEAR(), (("early", 0, 1995), ("middle", 1995, 1999), ("late", 1999, 9999)), closed=False)
     return o.groupBy(era.alias("era")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 

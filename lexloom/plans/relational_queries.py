@@ -15,7 +15,10 @@ from .base import Catalogue, lit, s_replace, s_strip, s_sub, table
 from .function_queries import C_MODEL_WORDS, CLASS_SQL, SCORE_SQL
 
 C = Catalogue()
-YEAR = F.year("o_orderdate")
+def YEAR():  # noqa: N802
+    """Columns need a session, so the expression is made when it is used."""
+    return F.year("o_orderdate")
+
 PAR, BOOK = "parallel_ing_rus", "book_catalog"
 _MWI = C_MODEL_WORDS.format("ing")
 
@@ -25,7 +28,7 @@ _MWI = C_MODEL_WORDS.format("ing")
 
 @C.add("P01_year_between", "select o_orderkey from orders where year(o_orderdate) between 1995 and 1997")
 def p01(spark, d):
-    return O.period_and_category(table(spark, d, "orders"), YEAR, F.col("o_orderpriority"), 1995, 1997).select("o_orderkey")
+    return O.period_and_category(table(spark, d, "orders"), YEAR(), F.col("o_orderpriority"), 1995, 1997).select("o_orderkey")
 
 
 @C.add("P02_category", "select slug, title from book_catalog where category_slug = 'istoriya'")
@@ -35,14 +38,14 @@ def p02(spark, d):
 
 @C.add("P03_year_and_category", "select o_orderkey from orders where year(o_orderdate) between 1995 and 1997 and o_orderpriority = '2-HIGH'")
 def p03(spark, d):
-    return O.period_and_category(table(spark, d, "orders"), YEAR, F.col("o_orderpriority"), 1995, 1997, "2-HIGH").select("o_orderkey")
+    return O.period_and_category(table(spark, d, "orders"), YEAR(), F.col("o_orderpriority"), 1995, 1997, "2-HIGH").select("o_orderkey")
 
 
 @C.add("P04_single_bound_ignored", "select count(*) as n, (select count(*) from orders where o_orderpriority = '5-LOW') as n_low from orders")
 def p04(spark, d):
     o = table(spark, d, "orders")
-    one = O.period_and_category(o, YEAR, F.col("o_orderpriority"), first=1996).agg(F.count("*").alias("n"))
-    low = O.period_and_category(o, YEAR, F.col("o_orderpriority"), last=1996, wanted="5-LOW").agg(F.count("*").alias("n_low"))
+    one = O.period_and_category(o, YEAR(), F.col("o_orderpriority"), first=1996).agg(F.count("*").alias("n"))
+    low = O.period_and_category(o, YEAR(), F.col("o_orderpriority"), last=1996, wanted="5-LOW").agg(F.count("*").alias("n_low"))
     return one.crossJoin(low)  # one row each
 
 
@@ -375,7 +378,7 @@ def j13(spark, d):
 @C.add("J14_timeline_era", "select o_orderkey, case when y < 1995 then 'early' when y < 1999 then 'middle' when y < 9999 then 'late' end as era from (select o_orderkey, coalesce(year(o_orderdate), 0) y from orders)")
 def j14(spark, d):
     eras = (("early", 0, 1995), ("middle", 1995, 1999), ("late", 1999, 9999))
-    return table(spark, d, "orders").select("o_orderkey", R.era_of(YEAR, eras, closed=False).alias("era"))
+    return table(spark, d, "orders").select("o_orderkey", R.era_of(YEAR(), eras, closed=False).alias("era"))
 
 
 _MAP = ((0, 0, 1994), (1, 1995, 1996), (2, 1997, 1999), (5, 0, 9999))
@@ -383,7 +386,7 @@ _MAP = ((0, 0, 1994), (1, 1995, 1996), (2, 1997, 1999), (5, 0, 9999))
 
 @C.add("J14_map_eras", f"select o_orderkey, e.i as era from (select o_orderkey, coalesce(year(o_orderdate), 0) y from orders) o join (values {', '.join(str(x) for x in _MAP)}) e(i, a, b) on o.y between e.a and e.b")
 def j14b(spark, d):
-    return R.in_eras(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), YEAR, _MAP).select("o_orderkey", "era")
+    return R.in_eras(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), YEAR(), _MAP).select("o_orderkey", "era")
 
 
 @C.add("J15_related_words", f"""
@@ -674,7 +677,7 @@ def t04(spark, d):
 
 @C.add("T05_by_year", "select o_orderkey, year(o_orderdate) as y from orders")
 def t05(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", YEAR.alias("y")).orderBy("y", "o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", YEAR().alias("y")).orderBy("y", "o_orderkey")
 
 
 @C.add("T06_lowest_scores", "select mono_id, lang_score from mono where lang_score is not null order by lang_score, mono_id limit 8")
