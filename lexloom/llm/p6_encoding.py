@@ -203,6 +203,19 @@ class Repairer:
             run = now
         return best
 
+    def reach(self, pieces: list[str], k: int, at: int, way: int) -> int:
+        """The end of a stretch, moved over neighbours that look drawn but are letters in the stretch's encoding."""
+        i = at + way
+        while 0 <= i < len(pieces):
+            piece = pieces[i]
+            if piece and not piece.isspace():
+                was = None if piece.isascii() or not all(c in FRAME for c in piece) else next((w for p, w, _ in self.tried(piece) if p == k), None)
+                if was is None or not any(c.isalpha() for c in was):
+                    break
+                at = i
+            i += way
+        return at
+
     def repair(self, text: str) -> tuple[str, float]:
         """The text as it was, and the gain in bits."""
         pieces = regex.split(r"([ \n\r\t]+)", text)
@@ -211,6 +224,7 @@ class Repairer:
             gain, k, first, last = self.layer(pieces)
             if gain < MIN_GAIN:
                 break
+            first, last = self.reach(pieces, k, first, -1), self.reach(pieces, k, last, 1)
             for i in range(first, last + 1):
                 if not pieces[i].isascii():
                     pieces[i] = next(was for p, was, _ in self.tried(pieces[i]) if p == k)
