@@ -16,6 +16,7 @@ from lexloom.llm import p9_leaks as P9
 from lexloom.llm import p10_quality as P10
 
 RUS = "В селе старый мастер построил новую мельницу, а потом весёлый сосед купил тёмную лодку у реки. "
+PROSE = RUS + "Вчера усталый путник заметил красную крышу за рекой. Осенью моя бабушка рассказала длинную историю о старом городе. Потом дети нашли в овраге железный ключ и отдали его учителю. "
 
 
 def bits_of(*texts):
@@ -279,7 +280,7 @@ def test_leak_words():
 @pytest.mark.parametrize(
     ("text", "kind"),
     [
-        (RUS * 5, None),
+        (PROSE, None),
         ("Серебряная сестра узнала сельский,\nВерный мастер заметил местный\nЗнаменитый плотник покрасил тихий,\nСтарый брат увидел." * 2, None),
         ("\n".join(f"слово{c} — значение" for c in "абвгд"), "list"),
         ("\n".join(f"{k}) Название, Имя" for k in range(1, 9)), "list"),
@@ -289,7 +290,7 @@ def test_leak_words():
         ('<div class="c"><a href="/p/1">4</a></div> ' * 20, "junk"),
         ("рпмчс нмнжчб дздмрбш ьдлгдршч цжй фзнъхрьъ щшвхйцтъ", "junk"),
         ("одна фраза опять " * 30, "junk"),
-        (RUS * 5 + "\n1 | 2 | 3\n4 | 5 | 6\n7 | 8 | 9", None),
+        (PROSE + "\n1 | 2 | 3\n4 | 5 | 6\n7 | 8 | 9", None),
         ("", None),
         ("   \n", None),
     ],
