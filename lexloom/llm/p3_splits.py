@@ -43,7 +43,8 @@ def text_key(c: Column) -> Column:
 
 def groups(rows: DataFrame, id_col: str = "pair_id", source_col: str = "source", text_col: str = "ing") -> DataFrame:
     """(id, group_id): every record with the smallest id of its component."""
-    base = rows.select(F.col(id_col).cast("bigint").alias("p"), source_key(F.col(source_col)).alias("s"), text_key(F.col(text_col)).alias("e")).where("p is not null")
+    # read by five stages below, so the keys are made once
+    base = common.checkpoint(rows.select(F.col(id_col).cast("bigint").alias("p"), source_key(F.col(source_col)).alias("s"), text_key(F.col(text_col)).alias("e")).where("p is not null"))
     links = base.where("e is not null").groupBy("e", "s").agg(F.min("p").alias("p"))
     texts = links.groupBy("e").agg(F.min("p").alias("p"), F.min("s").alias("s0"), F.max("s").alias("s1"))
     # each source starts with the smallest id that it sees in its rows or in the texts it holds
