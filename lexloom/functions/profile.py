@@ -6,6 +6,9 @@ Everything in this file is a fixed value: lists and patterns that results depend
 #: All white space of Unicode, for character classes of both regular-expression dialects.
 WS = " \\t\\r\\f\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 
+#: The same and the line feed, as characters.
+WS_CHARS = "".join(map(chr, (9, 10, 11, 12, 13, *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 PALOCHKA = "ӏ"
 #: Consonants after which a look-alike is a palochka, and the same with capitals.
 CONSONANTS = "гкхчтпбдзсфвщшцжнмлрй"

@@ -19,7 +19,7 @@ def sub(c: Column, pattern: str, to: str = "") -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, by Unicode."""
-    return sub(c, f"^[{_W}\\n]+|[{_W}\\n]+$")
+    return F.btrim(c, F.lit(P.WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:

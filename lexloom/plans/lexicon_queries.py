@@ -179,8 +179,8 @@ def clean_pass(spark, d, least=15):
     p = table(spark, d, PAR).select("pair_id", S.fix_html(F.coalesce("ing", F.lit(""))).alias("ing"), S.fix_html(F.coalesce("rus", F.lit(""))).alias("rus"))
     short = (F.length("ing") < least) | (F.length("rus") < least)
     kept = p.where(~short)
-    first = R.first_per_key(kept.select("pair_id", "ing"), ["ing"], "pair_id").select("pair_id")
-    return p, short, kept, kept.join(first, "pair_id")
+    first = kept.groupBy("ing").agg(F.min(F.struct("pair_id", "rus")).alias("m"))  # combined before the shuffle, so repeated texts are cheap
+    return p, short, kept, first.select("m.pair_id", "ing", "m.rus")
 
 
 _CLEAN = f"(select pair_id, {_FIX('coalesce(ing, ' + lit('') + ')')} as ing, {_FIX('coalesce(rus, ' + lit('') + ')')} as rus from {PAR})"
