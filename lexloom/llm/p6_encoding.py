@@ -142,7 +142,9 @@ class Repairer:
                 kind = "c"
             elif c in PLAIN:
                 inside = kind in ("c", "l") and at + 1 < len(piece) and piece[at + 1].isalpha()
-                total += 12 if c in "·№°§•" and kind in ("c", "l") or inside and c in "„“”‘’«»—–" else 2
+                # a sign of the upper half stuck to a small letter stands for a capital
+                stuck = c in "…„“”‘’•—–" and at + 1 < len(piece) and piece[at + 1].islower()
+                total += 12 if c in "·№°§•" and kind in ("c", "l") or inside and c in "„“”‘’«»—–" else 8 if stuck else 2
                 lower, kind = False, "p"
             elif "a" <= c <= "z" or "A" <= c <= "Z":
                 total += 4
@@ -157,10 +159,10 @@ class Repairer:
                 total += 5  # a name of another Cyrillic alphabet
                 lower, kind = False, "c"
             elif c.isalpha() and not "Ѐ" <= c <= "ӿ" and not "Ā" <= c < "ʰ":
-                total += 18 if kind in ("c", "l") else 10
+                total += 22 if kind in ("c", "l") else 14
                 lower, kind = False, "o"
             else:
-                total += 11
+                total += 14
                 lower, kind = False, "x"
             before = code
         if len(self.costs) > 300_000:
