@@ -125,3 +125,13 @@ def p3_balance(spark, sf_dir: str) -> DataFrame:
     """(split, pair_type, n): the label distribution of each split."""
     rows = common.read(spark, sf_dir, "parallel_ing_rus")
     return splits(rows).select("pair_id", "split").join(rows.select("pair_id", "pair_type"), "pair_id").groupBy("split", "pair_type").agg(F.count("*").alias("n"))
+
+
+_S = "regexp_replace(lower(source), '^\\s+|\\s+$', '', 'g')"
+_E = "regexp_replace(regexp_replace(lower(ing), '[\\s\\x{85}\\x{A0}\\x{2028}\\x{2029}\\x{202F}\\x{3000}\\x{2000}-\\x{200A}]+', ' ', 'g'), '^ | $', '', 'g')"
+SQL = {
+    "p3_found": f"""
+with recursive k as (select pair_id, 's' || {_S} as k from parallel_ing_rus where {_S} <> '' union select pair_id, 'e' || {_E} from parallel_ing_rus where {_E} <> ''),
+r as (select pair_id as p, k from k union select r.p, b.k from r join k a on a.k = r.k join k b on b.pair_id = a.pair_id)
+select p.pair_id, coalesce(g.group_id, p.pair_id) as group_id from parallel_ing_rus p left join (select r.p, min(k.pair_id) as group_id from r join k on k.k = r.k group by r.p) g on g.p = p.pair_id""",
+}

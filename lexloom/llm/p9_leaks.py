@@ -178,3 +178,12 @@ def p9_clean(spark, sf_dir: str) -> DataFrame:
     """(doc_id, n_chars) of the documents that hold no item; rows with a null id stay."""
     docs = common.read(spark, sf_dir, "documents")
     return docs.join(p9_found(spark, sf_dir).select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "n_chars")
+
+
+_WORDS = "regexp_extract_all(translate(lower(text), '1iё', 'ӏӏе'), '[\\pL\\pN]+')"
+_RUNS = "select {0}, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) as g from (select {0}, " + _WORDS + " as w from {1} where text is not null)"
+_LEAKS = f"(select distinct doc_id, item_id from ({_RUNS.format('doc_id', 'documents')}) d join ({_RUNS.format('item_id', 'test_items')}) i using (g))"
+SQL = {
+    "p9_found": f"select doc_id, item_id from {_LEAKS}",
+    "p9_clean": f"select doc_id, n_chars from documents where doc_id is null or doc_id not in (select doc_id from {_LEAKS})",
+}
