@@ -149,10 +149,15 @@ def l18(spark, d):
     return words(spark, d).join(Q.translations(spark, d), "word", "left").select("word", F.coalesce("translation", "word").alias("translation"))
 
 
-@C.add("G11_parse_verses")
+_CH, _VN = "string_split(verse_ref, ':')[1]", "string_split(verse_ref, ':')[2]"
+
+
+@C.add("G11_parse_verses", f"select pair_id, case when cast({_VN} as integer) <= 5 then cast({_CH} as integer) else 1 end as chapter, cast({_VN} as integer) as verse from {PAR} where pair_type = 'verse' and verse_ref is not null and regexp_matches(ing, '^[А-Яа-я «]+[.]$')")
 def g11(spark, d):
-    pages = table(spark, d, PAR).where("pair_type = 'verse' and ing is not null").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("num", "ing"))), lambda x: F.concat(x["num"].cast("string"), F.lit(". "), x["ing"])), "\n").alias("t"))
-    return AL.parse_verses(pages.where("source is not null"), "source", "t", "КОРТ[АН]*")
+    """Pages of one verse under the running head of its chapter; a head counts from a verse of five or less on."""
+    v = table(spark, d, PAR).where("pair_type = 'verse' and verse_ref is not null").where(F.col("ing").rlike("^[А-Яа-я «]+[.]$"))
+    page = F.concat(F.lit("КОРТА "), F.split("verse_ref", ":")[0], F.lit("\n"), F.split("verse_ref", ":")[1], F.lit(". "), "ing")
+    return AL.parse_verses(v.select("pair_id", page.alias("t")), "pair_id", "t", "КОРТ[АН]*").select("pair_id", "chapter", "verse")
 
 
 # ---- composites

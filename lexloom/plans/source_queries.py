@@ -109,21 +109,27 @@ def s13(spark, d):
     return rows.select("slug", "r.title", "r.download_count", "r.upload_date", "r.file_size").distinct()
 
 
-_PG = "(select source, mono_id, case when mono_id % 4 = 0 then 0 else 1 end as n from mono where source is not null)"
+_PG = "(select mono_id // 50 as listing, mono_id, case when mono_id % 4 = 0 or mono_id % 9 = 1 then 0 else 1 end as n from mono)"
+
+
+def landed(spark, d):
+    """Landed pages of listings of up to fifty pages; some are empty."""
+    items = F.when((F.col("mono_id") % 4 == 0) | (F.col("mono_id") % 9 == 1), F.array().cast("array<string>")).otherwise(F.array("category"))
+    return table(spark, d, "mono").select(F.floor(F.col("mono_id") / 50).alias("listing"), "mono_id", items.alias("items"))
 
 
 @C.add("S14_cursor_scan", f"""
-with e as (select source, mono_id, 1 - n as e from {_PG}), g as (select *, sum(1 - e) over (partition by source order by mono_id) g from e), s as (select *, sum(e) over (partition by source, g order by mono_id) s from g),
-x as (select *, max(case when s >= 2 then 1 else 0 end) over (partition by source order by mono_id) x from s) select source, mono_id from x where x = 0""")
+with e as (select listing, mono_id, 1 - n as e from {_PG}), g as (select *, sum(1 - e) over (partition by listing order by mono_id) g from e), s as (select *, sum(e) over (partition by listing, g order by mono_id) s from g),
+x as (select *, max(case when s >= 2 then 1 else 0 end) over (partition by listing order by mono_id) x from s) select listing, mono_id from x where x = 0""")
 def s14(spark, d):
-    m = table(spark, d, "mono").where("source is not null").select("source", "mono_id", F.when(F.col("mono_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("category")).alias("items"))
-    return CA.cursor_pages(m, "source", "mono_id", "items", 2).select("source", "mono_id")
+    m = landed(spark, d)
+    return CA.cursor_pages(m, "listing", "mono_id", "items", 2).select("listing", "mono_id")
 
 
 @C.add("S15_page_numbers", C.sql["S14_cursor_scan"].replace("s >= 2", "s >= 1"))
 def s15(spark, d):
-    m = table(spark, d, "mono").where("source is not null").select("source", "mono_id", F.when(F.col("mono_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("category")).alias("items"))
-    return CA.cursor_pages(m, "source", "mono_id", "items", 1).select("source", "mono_id")
+    m = landed(spark, d)
+    return CA.cursor_pages(m, "listing", "mono_id", "items", 1).select("listing", "mono_id")
 
 
 @C.add("S16_sniff_and_md5", "select entry_id, case entry_id % 3 when 0 then 'pdf' when 1 then 'png' else 'unknown' end as format, md5(concat(case entry_id % 3 when 0 then '%PDF' when 1 then 'PNG!' else 'text' end, coalesce(slug, ''))) as md5 from download_state")
@@ -165,10 +171,11 @@ def s20(spark, d):
 
 
 @C.add("S21_pages_until_short", """
-with s as (select source, mono_id, text, max(case when coalesce(length(text), 0) < 120 then 1 else 0 end) over (partition by source order by mono_id) x from mono where source is not null)
-select source, string_agg(text, chr(10) order by mono_id) as text from s where x = 0 group by source""")
+with s as (select mono_id // 10 as doc, mono_id, text, max(case when coalesce(length(text), 0) < 120 then 1 else 0 end) over (partition by mono_id // 10 order by mono_id) x from mono)
+select doc, string_agg(text, chr(10) order by mono_id) as text from s where x = 0 group by doc""")
 def s21(spark, d):
-    return CA.pages_until_short(table(spark, d, "mono").where("source is not null"), "source", "mono_id", "text", 120)
+    """Documents of ten pages."""
+    return CA.pages_until_short(table(spark, d, "mono").withColumn("doc", F.floor(F.col("mono_id") / 10)), "doc", "mono_id", "text", 120)
 
 
 # ---- sinks

@@ -18,18 +18,26 @@ def take(tokens: float, last: float | None, now: float, capacity: float = BUCKET
 
 
 def allow(events: DataFrame, key: str, at: str, event: str, capacity: float = BUCKET_CAPACITY, rate: float = BUCKET_PER_SECOND) -> DataFrame:
-    """(key, event, allowed) over a batch: each key's requests in order of time."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, event])
-        tokens, last, out = capacity, None, []
-        for now in pdf[at]:
-            tokens, ok = take(tokens, last, now, capacity, rate)
-            last = now
-            out.append(ok)
-        return pd.DataFrame({key: pdf[key], event: pdf[event], "allowed": out})
+    """(key, event, allowed) over a batch: each key's requests in order of time.
+
+    Partitions are sorted and read as streams, with one bucket in memory, so a key with a
+    large share of all requests needs no more room than any other.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now_key, tokens, last = object(), capacity, None
+        for pdf in batches:
+            out = []
+            for k, now in zip(pdf[key], pdf[at]):
+                if k != now_key:
+                    now_key, tokens, last = k, capacity, None
+                tokens, ok = take(tokens, last, now, capacity, rate)
+                last = now
+                out.append(ok)
+            yield pd.DataFrame({key: pdf[key], event: pdf[event], "allowed": out})
 
     kinds = dict(events.dtypes)
-    return events.select(key, at, event).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {event} {kinds[event]}, allowed boolean")
+    ordered = events.select(key, at, event).repartition(key).sortWithinPartitions(key, at, event)
+    return ordered.mapInPandas(run, f"{key} {kinds[key]}, {event} {kinds[event]}, allowed boolean")
 
 
 def allow_stream(events: DataFrame, key: str, at: str, event: str, capacity: float = BUCKET_CAPACITY, rate: float = BUCKET_PER_SECOND) -> DataFrame:
