@@ -3,7 +3,8 @@
 A sparse multinomial logistic regression on TF-IDF weights of character n-grams (within
 words, hashed to ``DIM`` columns) is trained online with follow-the-regularised-leader
 and an elastic-net penalty, on a bounded sample of labelled rows: at most
-``PER_LANGUAGE`` rows of each language, taken by the hash of their ids.  Labels may be
+``PER_LANGUAGE`` rows of each language, taken by the hash of their ids among those of at most
+``TRAIN_CHARS`` characters.  Labels may be
 wrong, so rows that a first model contradicts are left out of the next
 training, twice; a held-out part then sets the temperature of the probabilities.
 
@@ -32,7 +33,7 @@ from . import p6_encoding as p6
 
 LANGUAGES = ("ing", "rus", "eng", "kat", "ara", "zho")
 DIM, ORDERS = 1 << 17, (1, 2, 3, 4, 5)
-PER_LANGUAGE, EPOCHS = 800, 3
+PER_LANGUAGE, EPOCHS, TRAIN_CHARS = 800, 3, 4000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.1
 #: The script of each language; a sentence in another script can't bear its label.
 SCRIPTS = {lang: regex.compile(p) for lang, p in {"ing": r"\p{Cyrillic}", "rus": r"\p{Cyrillic}", "eng": r"\p{Latin}", "kat": r"\p{Georgian}", "ara": r"\p{Arabic}", "zho": r"\p{Han}"}.items()}
@@ -174,7 +175,7 @@ def fit(samples: list[tuple[list[str], int, int]]) -> Model:
 def sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[list[str], int, int]]:
     """Sentences of at most PER_LANGUAGE rows of each language, chosen by the hash of the id."""
     label = F.lower(F.trim(F.col(lang_col)))
-    labelled = rows.select(F.col(id_col).alias("i"), F.substring(text_col, 1, 4000).alias("t"), label.alias("l")).where(F.col("l").isin(*LANGUAGES) & F.col("t").isNotNull())
+    labelled = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), label.alias("l")).where(F.col("l").isin(*LANGUAGES) & (F.length("t") <= TRAIN_CHARS))
     counts = {r.l: r.n for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}
     keep = F.lit(False)
     for lang, n in counts.items():
