@@ -336,7 +336,14 @@ def f42(spark, d):
     return table(spark, d, "documents").select("doc_id", S.from_start_line(F.col("text"), "Село").alias("text"))
 
 
-@C.add("F43_sections")
+_BODY = "concat('***', chr(10), 'intro', chr(10), 'PART A  ', chr(10), rus, chr(10), 'PART B', chr(10), ing)"
+
+
+def _s_section(start: str, end: str) -> str:
+    return s_strip(f"regexp_extract({_BODY}, '(?s)(?:^|\\n){start}[ \\t]*\\n(.*?)(?:\\n{end}[ \\t]*(?:\\n|$)|$)', 1)")
+
+
+@C.add("F43_sections", f"select pair_id, {_s_section('PART A', 'PART B')} as first, {_s_section('PART B', 'PART C')} as second from parallel_ing_rus where rus is not null and ing is not null")
 def f43(spark, d):
     body = F.concat(F.lit("***\nintro\nPART A  \n"), F.col("rus"), F.lit("\nPART B\n"), F.col("ing"))
     return table(spark, d, "parallel_ing_rus").where("rus is not null and ing is not null").select("pair_id", S.section(body, "PART A", "PART B").alias("first"), S.section(body, "PART B", "PART C").alias("second"))

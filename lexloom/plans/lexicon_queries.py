@@ -252,7 +252,12 @@ def c07(spark, d):
     return w.join(SP.known(distinct, base(spark, d)).select("word"), "word", "left_anti").select("pair_id", F.col("position").cast("bigint").alias("position"), "word")
 
 
-@C.add("C07_spell_check")
+_SUG = f"""(with u as (select distinct word from {_CHECK} where word not in {_KN7}),
+j as (select c.word, t.word as cand, {Q.LEV} as dist, coalesce(f.n, 0) as freq from u c join {TR} t on abs(length(c.word) - length(t.word)) <= 2 and {Q.LEV} <= 2 left join {_UNI} f on f.word = t.word),
+r as (select *, row_number() over (partition by word order by dist, freq desc, cand) rk from j) select word, string_agg(cand, '|' order by rk) as suggestions from r where rk <= 5 group by word)"""
+
+
+@C.add("C07_spell_check", f"select k.pair_id, k.position, k.word, coalesce(s.suggestions, '') as suggestions from {_CHECK} k left join {_SUG} s on s.word = k.word where k.word not in {_KN7}")
 def c07b(spark, d):
     """Unknown words with up to five suggestions; the distance part is checked by L09 and W04."""
     freq = unigrams(spark, d).withColumnRenamed("n", "freq")
@@ -260,14 +265,23 @@ def c07b(spark, d):
     return out.select("pair_id", "position", "word", F.array_join(F.transform(F.coalesce("suggestions", F.array()), lambda x: x["candidate"]), "|").alias("suggestions"))
 
 
-@C.add("C08_context")
+_LN = s_sub(f"replace(lower(ing), 'Ӏ', 'ӏ')", f"([{_K}])I", "\\1ӏ")
+_LN = s_sub(s_sub(_LN, f"([{_K}])1([а-яёӏ])", "\\1ӏ\\2"), f"([{_K}])1([а-яёӏ])", "\\1ӏ\\2")
+_LS = f"string_split_regex({_LN}, '[ \\t\\n\\x0B\\f\\r]+')"
+_CTX = f"""(with w as (select pair_id, position, word from (select pair_id, generate_subscripts({_LS}, 1) - 1 as position, unnest({_LS}) as word from {PAR} where pair_type in ('phrase', 'sentence') and ing is not null) where word <> ''),
+b as (select pair_id, position, word as w1, lead(word) over (partition by pair_id order by position) as w2 from w), u as ({Q.SQL['A01_unigrams']}), g as ({Q.SQL['A02_bigrams']})
+select b.pair_id, b.position, concat(b.w1, ' ', b.w2) as bigram, round(1.0 / cast(u1.n + (select count(*) from u) as double), 9) as score from b join u u1 on u1.word = b.w1 join u u2 on u2.word = b.w2
+where cast(u1.n as double) * u2.n / (select sum(n) from u) >= 1.0 and not exists (select 1 from g where g.w1 = b.w1 and g.w2 = b.w2))"""
+
+
+@C.add("C08_context", f"select * from {_CTX}")
 def c08(spark, d):
     uni = Q.a01(spark, d)
     totals = uni.agg(F.sum("n"), F.count("*")).first()
     return SP.context(checked(spark, d), "pair_id", "ing", uni, Q.a02(spark, d), totals[0] or 1, totals[1]).withColumn("score", F.round("score", 9))
 
 
-@C.add("C09_full_check")
+@C.add("C09_full_check", f"select distinct p.pair_id, (p.pair_id in (select pair_id from {_CHECK} where word not in {_KN7}) or p.pair_id in (select pair_id from {_CTX})) as has_errors from {PAR} p where pair_type in ('phrase', 'sentence') and ing is not null and trim(ing) <> ''")
 def c09(spark, d):
     """(pair_id, has_errors): whether a request has unknown words or unlikely neighbours; blank ones are refused."""
     t = checked(spark, d).where(F.trim("ing") != "").select("pair_id")

@@ -342,7 +342,7 @@ _CW = "(select distinct word from common_words where word is not null and length
 
 #: DuckDB measures bytes; one byte for each letter makes that the distance in letters.
 def _one_byte(e: str) -> str:
-    return f"translate({e}, 'абвгдежзийклмнопрстуфхцчшщъыьэюяёӏ', 'abcdefghijklmnopqrstuvwxyzABCDEFGH')"
+    return f"translate({e}, 'абвгдежзийклмнопрстуфхцчшщъыьэюяёӏ', '0123456789!#$%&()*+,-./:;<=>?@[]^_')"
 
 
 LEV = f"levenshtein({_one_byte('c.word')}, {_one_byte('t.word')})"
@@ -626,7 +626,12 @@ def w06(spark, d):
     return R.hashed_rank_split(table(spark, d, PAR).select("pair_id"), "pair_id", 42, 5, 5)
 
 
-@C.add("W07_running_heading")
+_HEAD = f"case when regexp_matches({s_strip('line')}, '^[\\p{{Lu}}\\p{{Zs}}ӀI]{{3,}}$') then {s_strip('line')} end"
+
+
+@C.add("W07_running_heading", f"""
+with l as (select mono_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos, unnest(string_split(text, chr(10))) as line from mono where text is not null)
+select mono_id, pos, last_value({_HEAD} ignore nulls) over (partition by mono_id order by pos) as heading from l""")
 def w07(spark, d):
     """The last heading above each line, carried forward."""
     lines = table(spark, d, "mono").where("text is not null").select("mono_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))

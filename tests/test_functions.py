@@ -62,6 +62,6 @@ def test_segments(spark):
 
 
 def test_sentences(spark):
-    assert one(spark, W.sentences_joined(F.col("t")), t="Первое предложение тут. Второе предложение\nтут! ГЛАВА") == ["Первое предложение тут", "Второе предложение тут!"]
+    assert one(spark, W.sentences_joined(F.col("t")), t="Первое предложение тут. Второе предложение\nтут! ГЛАВА") == ["Первое предложение тут", "Второе предложение тут"]
     assert one(spark, W.sentences_kept(F.col("t")), t="Первое предложение. Второе предложение!") == ["Первое предложение.", "Второе предложение!"]
     assert one(spark, W.sentences_by_line(F.col("t")), t="коротко\nДостаточно длинная строка") == ["Достаточно длинная строка"]
