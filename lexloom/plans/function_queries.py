@@ -402,14 +402,33 @@ def g05_full(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(W.segments(F.col("text"))).alias("n", "segment"))
 
 
-for _name, _fn in (
-    ("G06_sentences_joined", W.sentences_joined),
-    ("G07_sentences_by_line", W.sentences_by_line),
-    ("G08_sentences_kept", W.sentences_kept),
-    ("G09_sentences_caps", lambda c: W.sentences_joined(c, 10, "caps")),
-    ("G10_numbered_sections", lambda c: F.transform(W.numbered_sections(F.concat(F.lit("1.\n"), c)), lambda x: x["body"])),
+_ENDS = "([^А-ЯA-Z\\d])[.!?…]+(\\s+[А-ЯA-ZЁ«\"“]|$)"
+_SOFT = "regexp_replace(replace(text, chr(173), ''), '-\\n', '', 'g')"
+_LN = f"list_filter(list_transform(string_split({_SOFT}, chr(10)), lambda x: {s_strip('x')}), lambda x: x <> '')"
+_CAPS = "(x = upper(x) and regexp_matches(x, '\\pL'))"
+
+
+def _cut(flow: str, keep: str) -> str:
+    """Sentences of a text: terminators are replaced by a mark, then it is split at the marks."""
+    return f"list_filter(list_transform(string_split({s_sub(flow, _ENDS, chr(92) + '1' + chr(1) + chr(92) + '2')}, chr(1)), lambda y: {s_strip('y')}), lambda y: length(y) {keep})"
+
+
+def _numbered(cut: str) -> str:
+    return f"select mono_id, generate_subscripts(l, 1) - 1 as n, unnest(l) as sentence from (select mono_id, {cut} as l from mono where text is not null)"
+
+
+_short = f"array_to_string(list_filter({_LN}, lambda x: not (len(string_split_regex(x, '\\s+')) <= 2 and (regexp_matches(x, '^\\d+$') or {_CAPS}))), ' ')"
+_noncaps = f"array_to_string(list_filter({_LN}, lambda x: not (len(string_split_regex(x, '\\s+')) <= 8 and {_CAPS})), ' ')"
+_flat = s_strip(s_sub("text", f"[{_W}\\n]+", " "))
+_kept = f"list_filter(list_transform(string_split({s_sub(_flat, '([.!?»])' + chr(92) + 's+([А-ЯЁ«' + chr(92) + 'd' + chr(34) + '])', chr(92) + '1' + chr(1) + chr(92) + '2')}, chr(1)), lambda y: {s_strip('y')}), lambda y: length(y) >= 15)"
+for _name, _fn, _sql in (
+    ("G06_sentences_joined", W.sentences_joined, _numbered(_cut(_short, "> 10"))),
+    ("G07_sentences_by_line", W.sentences_by_line, _numbered(f"flatten(list_transform({_LN}, lambda x: {_cut('x', '>= 15')}))")),
+    ("G08_sentences_kept", W.sentences_kept, _numbered(_kept)),
+    ("G09_sentences_caps", lambda c: W.sentences_joined(c, 10, "caps"), _numbered(_cut(_noncaps, "> 10"))),
+    ("G10_numbered_sections", lambda c: F.transform(W.numbered_sections(F.concat(F.lit("1.\n"), c)), lambda x: x["body"]), None),
 ):
-    C.add(_name)(lambda spark, d, fn=_fn: table(spark, d, "mono").select("mono_id", F.posexplode(fn(F.col("text"))).alias("n", "sentence")))
+    C.add(_name, _sql)(lambda spark, d, fn=_fn: table(spark, d, "mono").select("mono_id", F.posexplode(fn(F.col("text"))).alias("n", "sentence")))
 
 
 _BL = "list_filter(list_transform(string_split_regex(regexp_replace(text, '-\\n', '', 'g'), '\\n[ \\t]*\\n'), lambda b: " + s_strip(s_sub("b", "\\s+", " ")) + "), lambda b: b <> '')"
