@@ -33,7 +33,7 @@ from . import p6_encoding as p6
 
 LANGUAGES = ("ing", "rus", "eng", "kat", "ara", "zho")
 DIM, ORDERS = 1 << 17, (1, 2, 3, 4, 5)
-PER_LANGUAGE, EPOCHS, TRAIN_CHARS = 800, 3, 4000
+PER_LANGUAGE, EPOCHS, TRAIN_CHARS = 600, 2, 4000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.1
 #: The script of each language; a sentence in another script can't bear its label.
 SCRIPTS = {lang: regex.compile(p) for lang, p in {"ing": r"\p{Cyrillic}", "rus": r"\p{Cyrillic}", "eng": r"\p{Latin}", "kat": r"\p{Georgian}", "ara": r"\p{Arabic}", "zho": r"\p{Han}"}.items()}
@@ -135,7 +135,7 @@ def temperature(model: Model, held: list[tuple[list[str], int]]) -> float:
         s = s - s.max(axis=1, keepdims=True)
         return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
 
-    a, b, g = 0.1, 10.0, (math.sqrt(5) - 1) / 2
+    a, b, g = 0.5, 5.0, (math.sqrt(5) - 1) / 2
     for _ in range(40):
         c, d = b - g * (b - a), a + g * (b - a)
         if loss(c) < loss(d):
@@ -155,17 +155,22 @@ def fit(samples: list[tuple[list[str], int, int]]) -> Model:
     if not samples:
         raise ValueError("no labelled text to learn from")
     half = [zlib.crc32(str(row).encode()) & 1 for _, _, row in samples]
-    kept = samples
+    kept, agreed = samples, samples
     for _ in range(2):
         models = [Model(*train([(w, y) for (w, y, row) in kept if zlib.crc32(str(row).encode()) & 1 == side] or [x[:2] for x in kept], 1), 1.0) for side in (0, 1)]
         scores = [np.log(np.maximum(models[1 - h].probabilities(w), 1e-9)) for (w, _, _), h in zip(samples, half)]
         rows: dict = {}
         for (_, _, row), score in zip(samples, scores):
             rows[row] = rows.get(row, 0.0) + score
+        agreed = [x for x in samples if rows[x[2]].argmax() == x[1]] or samples
         kept = [x for x, score in zip(samples, scores) if rows[x[2]].argmax() == x[1] and score.argmax() == x[1]] or samples
-    train_on, held = [], []
-    for w, y, row in kept:
-        (held if zlib.crc32(str(row).encode()) % 7 == 3 else train_on).append((w, y))
+
+    def held_out(row) -> bool:
+        return zlib.crc32(str(row).encode()) % 7 == 3
+
+    train_on = [(w, y) for w, y, row in kept if not held_out(row)]
+    # hard sentences stay in the part that sets the temperature
+    held = [(w, y) for w, y, row in agreed if held_out(row)]
     model = Model(*train(train_on or held, EPOCHS), 1.0)
     model.temperature = temperature(model, held)
     model.kept.clear()

@@ -67,7 +67,6 @@ def _views() -> dict[str, dict[str, int]]:
 VIEWS = _views()
 #: (read with, written in)
 PAIRS = tuple((v, t) for v in VIEWS for t in ("utf-8", "cp1251", "koi8-r", "cp866") if v != t)
-_FFFD_CP1252 = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
 
 
 def back(piece: str, view: str, true: str) -> str | None:
@@ -79,7 +78,8 @@ def back(piece: str, view: str, true: str) -> str | None:
         if b is None:
             if c != "�" or view != "cp1252" or true != "utf-8":
                 return None
-            b = 0x81 if out and out[-1] == 0xD1 else 0x9D
+            # a lost byte: the likeliest one after its lead byte (Ð; с; Н)
+            b = {0xC3: 0x90, 0xD1: 0x81}.get(out[-1] if out else 0, 0x9D)
         out.append(b)
     try:
         return out.decode(true)
