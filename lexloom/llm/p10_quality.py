@@ -36,6 +36,16 @@ _BIBLIO = regex.compile(r"—\s*(?:19|20|18)\d\d\.?\s*—|\b\d+\s*с\.\s*$")
 _TAG = regex.compile(r"<[^<>]{0,300}>|&[a-z#0-9]{2,8};")
 _CODED = regex.compile(r"(?:%[0-9A-Fa-f]{2}){3,}|(?:\\x[0-9A-Fa-f]{2}){3,}|(?:=[0-9A-F]{2}){3,}|(?:\\u[0-9a-fA-F]{4}){3,}|(?:&#\d+;){3,}|\b(?:[0-9A-Fa-f]{2}[ :]){8,}")
 _TOKEN = regex.compile(r"\S+")
+_ALPHA = regex.compile(r"\p{L}+")
+_DIGIT = regex.compile(r"[\p{Nd}²³¹⁰-⁹₀-₉①-⑨]+")
+_ALPHABETIC = regex.compile("[а-ёӏa-z]+")
+_VOWEL = regex.compile("[" + "".join(sorted(VOWELS)) + "]+")
+
+
+def _size(pattern, text: str) -> int:
+    return sum(map(len, pattern.findall(text)))
+
+
 _END = ".!?…»\"”:;"
 
 
@@ -96,8 +106,10 @@ def autocorrelation(lengths: list[int]) -> float:
 def entry(line: str, words: int) -> bool:
     """Whether a line is one short entry of a list."""
     s = line.strip()
-    if _CONTENTS.search(s) or _NAME.match(s) or _BIBLIO.search(s):
+    if s[-1].isdigit() and _CONTENTS.search(s) or words <= 3 and _NAME.match(s) or _BIBLIO.search(s):
         return True
+    if words > 9:
+        return False
     if _BULLET.match(s) and words <= 9:
         return not regex.search(r"[.!?…]$", s) or words <= 5
     if _PAIR.match(s) and words <= 9:
@@ -117,8 +129,7 @@ class Stats:
         words = common.words(text)
         self.n_words = len(words)
         self.mean_word_len = sum(map(len, words)) / len(words) if words else 0.0
-        letters = sum(map(str.isalpha, text))
-        digits = sum(map(str.isdigit, text))
+        letters, digits = _size(_ALPHA, text), _size(_DIGIT, text)
         self.symbol_ratio = (n - letters - digits) / n if n else 0.0
         self.digit_ratio = digits / n if n else 0.0
         self.n_lines = len(lines)
@@ -132,8 +143,7 @@ class Stats:
         self.indent_share = sum(bool(_BULLET.match(x)) or x[0] in " \t" for x in lines) / len(lines) if lines else 0.0
         self.length_corr = autocorrelation([len(x) for x in lines])
         lower = text.lower()
-        known = sum(c in VOWELS for c in lower)
-        alphabetic = sum("а" <= c <= "ё" or c == "ӏ" or "a" <= c <= "z" for c in lower)
+        known, alphabetic = _size(_VOWEL, lower), _size(_ALPHABETIC, lower)
         self.vowel_ratio = known / alphabetic if alphabetic else 1.0
         if len(words) >= 12:
             grams = Counter(zip(words, words[1:], words[2:]))
@@ -142,7 +152,8 @@ class Stats:
             self.repeat_share = 0.0
         self.long_share = sum(len(t) for t in tokens if len(t) > 28 and t.isascii()) / n if n else 0.0
         self.single_share = sum(len(t) == 1 for t in tokens) / len(tokens) if tokens else 0.0
-        marked = sum(len(m) for m in _TAG.findall(text)) + sum(len(m.group()) for m in _CODED.finditer(text))
+        marked = _size(_TAG, text) if "<" in text or "&" in text else 0
+        marked += sum(len(m.group()) for m in _CODED.finditer(text)) if digits or "%" in text else 0
         self.markup_share = marked / n if n else 0.0
         self.kind = self.decide(alphabetic, letters, lines)
 
