@@ -4,7 +4,7 @@ A text is split at blanks.  For each pair of encodings (the one it was read with
 the one it was written in) every piece is encoded back and strictly decoded; the gain
 is the drop of a garbling cost in bits.  The stretch with the largest gain is
 replaced, whole or part of the text, and the search goes on until nothing is gained,
-so nested layers and several stretches come out.
+so nested layers and several stretches come out, however many there are.
 
 The cost of a piece is its length under a bigram model of the letters of the corpus
 itself (counted over all rows), with surcharges for characters that running text
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_GAIN = 14.0
-MAX_LAYERS = 12
+
+#: Pieces whose best stretch is found anew together.
+BLOCK = 128
 
 #: Letters of the bigram model; 0 is any other character.
 ALPHABET = "абвгдеёжзийклмнопрстуфхцчшщъыьэюяӏ"
@@ -67,6 +69,8 @@ def _views() -> dict[str, dict[str, int]]:
 VIEWS = _views()
 #: (read with, written in)
 PAIRS = tuple((v, t) for v in VIEWS for t in ("utf-8", "cp1251", "koi8-r", "cp866") if v != t)
+#: No open stretch of a pair: (gain, first piece).
+NONE = (0.0, -1)
 
 
 def back(piece: str, view: str, true: str) -> str | None:
@@ -188,22 +192,26 @@ class Repairer:
             self.decoded[piece] = known
         return known
 
-    def layer(self, pieces: list[str]) -> tuple[float, int, int, int]:
-        """Best (gain, pair, first, last) over all pairs and stretches; a piece that a pair can't decode ends a stretch."""
+    def layer(self, pieces: list[str], run: list, start: int, end: int) -> tuple[tuple[float, int, int, int], list]:
+        """Best (gain, pair, first, last) over all pairs and the stretches that end in [start, end), and the open stretches at ``end``.
+
+        ``run`` are the open ones at ``start``; a piece that a pair can't decode ends its stretch.
+        """
         best = (0.0, 0, 0, -1)
-        run = [(0.0, -1)] * len(PAIRS)
-        for i, piece in enumerate(pieces):
+        for i in range(start, end):
+            piece = pieces[i]
             if not piece or piece.isascii():
                 continue
-            now = [(0.0, -1)] * len(PAIRS)
+            now = [NONE] * len(PAIRS)
             for k, _, gain in self.tried(piece):
                 total, first = run[k]
                 total, first = (total + gain, first) if total > 0 else (gain, i)
-                now[k] = (total, first)
-                if total > best[0]:
-                    best = (total, k, first, i)
+                if total > 0:
+                    now[k] = (total, first)
+                    if total > best[0]:
+                        best = (total, k, first, i)
             run = now
-        return best
+        return best, run
 
     def reach(self, pieces: list[str], k: int, at: int, way: int) -> int:
         """The end of a stretch, moved over neighbours that look drawn but are letters in the stretch's encoding."""
@@ -219,19 +227,41 @@ class Repairer:
         return at
 
     def repair(self, text: str) -> tuple[str, float]:
-        """The text as it was, and the gain in bits."""
+        """The text as it was, and the gain in bits.
+
+        The best stretch of all is replaced, then the next, until none gains enough.  Decoding
+        makes no blanks, so the pieces keep their places; after a replacement only the blocks
+        whose open stretches have changed are looked at again.
+        """
         pieces = regex.split(r"([ \n\r\t]+)", text)
+        blocks = -(-len(pieces) // BLOCK)
+        opened = [[NONE] * len(PAIRS)] + [None] * blocks
+        bests = [None] * blocks
+        # a text that comes back, which drawn pieces could cause, ends the search
+        state = 0
+        seen = {state}
         gained = 0.0
-        for _ in range(MAX_LAYERS):
-            gain, k, first, last = self.layer(pieces)
+        low, high = 0, len(pieces) - 1
+        while True:
+            for n in range(low // BLOCK, blocks):
+                bests[n], run = self.layer(pieces, opened[n], n * BLOCK, min((n + 1) * BLOCK, len(pieces)))
+                same = run == opened[n + 1]
+                opened[n + 1] = run
+                if same and (n + 1) * BLOCK > high:
+                    break
+            gain, k, first, last = max(bests, key=lambda b: b[0])
             if gain < MIN_GAIN:
                 break
-            first, last = self.reach(pieces, k, first, -1), self.reach(pieces, k, last, 1)
-            for i in range(first, last + 1):
+            low, high = self.reach(pieces, k, first, -1), self.reach(pieces, k, last, 1)
+            for i in range(low, high + 1):
                 if not pieces[i].isascii():
-                    pieces[i] = next(was for p, was, _ in self.tried(pieces[i]) if p == k)
+                    was = next(was for p, was, _ in self.tried(pieces[i]) if p == k)
+                    state ^= hash((i, pieces[i])) ^ hash((i, was))
+                    pieces[i] = was
             gained += gain
-            pieces = regex.split(r"([ \n\r\t]+)", "".join(pieces))
+            if state in seen:
+                break
+            seen.add(state)
         return "".join(pieces), gained
 
 

@@ -166,6 +166,19 @@ def test_nested_encoding():
     assert rep.repair(twice)[0] == RUS.strip()
 
 
+@pytest.mark.parametrize("layers", [1, 2])
+def test_many_stretches(layers):
+    """Every stretch is restored, in one block of pieces and over several."""
+    rep = P6.Repairer(bits_of(RUS * 20))
+    garbled = RUS.strip()
+    for _ in range(layers):
+        garbled = garbled.encode("utf-8").decode("latin-1")
+    for n in (13, 60):
+        fixed, gain = rep.repair(" ".join([RUS + garbled] * n))
+        assert fixed == " ".join([RUS + RUS.strip()] * n)
+        assert gain == pytest.approx(n * rep.repair(RUS + garbled)[1])
+
+
 @pytest.mark.parametrize("text", [RUS, RUS.upper(), "«Größe été»", "α/β ≈ ½", "╔══╗ Дом ╚══╝", "Ђура, Ћетков.", "№ 5 ± 0,5°", "©®™", ""])
 def test_not_garbled(text):
     rep = P6.Repairer(bits_of(RUS * 20, RUS.upper() * 5, "Дом Ђура "))
