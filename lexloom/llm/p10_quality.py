@@ -1,8 +1,11 @@
 """Problem 10: statistics of each text that tell prose from lists, tables and junk.
 
 The layout is measured line by line: for each delimiter how many lines have the same
-number of cells and how far the cells' places agree, how regularly lines are indented
-or numbered, and how line lengths repeat (autocorrelation at lag 1).  The wording is
+number of cells and how far the cells' places agree, the period of the indents, and how
+line lengths repeat (autocorrelation at lag 1).  Columns that stand under each other need
+no numbers to be a table, also where a single blank is left between two long cells; an
+entry that runs over a period of lines (of indents, or long and short lines in turn)
+counts as one.  The wording is
 measured by ratios of words, symbols, vowels, end punctuation and common words.  One
 pass over the documents, no shuffle; the list of common words goes to the executors
 and must be below a bound.  A text is a list or a table if most of its lines and most
@@ -27,7 +30,13 @@ from . import common
 MAX_COMMON_WORDS = 200_000
 DELIMITERS = ("|", "│", "\t", ";", ",", "  ")
 VOWELS = frozenset("аеёиоуыэюяӏaeiouyáéíóúäöüаьъ") - {"ь", "ъ"}
+#: Least share of rows in which the cells of a column begin or end at one place.
+AGREED = 0.8
+#: Least autocorrelation of indents, and of line lengths that alternate (negative).
+PERIODIC, ALTERNATING = 0.8, -0.5
+MAX_PERIOD = 12
 _GAP = regex.compile(r" {2,}")
+_INSIDE = regex.compile(r"\S {2,}\S")
 _BULLET = regex.compile(r"^\s*(?:[-•*–—·▪◦‣+]|\(?\d{1,4}[.)]|\p{L}[.)])\s+")
 _CONTENTS = regex.compile(r"(?:\.{4,}|…{2,}|_{4,}|(?:\. ){4,})\s*\d+\s*$")
 _PAIR = regex.compile(r"^[^.!?]{1,40}\s[—–:=-]\s[^.!?]{1,40}$")
@@ -56,9 +65,64 @@ def cells_of(line: str, delimiter: str) -> list[str]:
     return s.split(delimiter)
 
 
-def table_score(lines: list[str]) -> tuple[float, int]:
-    """Best share (of lines, and of characters if that is less) of the table's rows over all delimiters, and the number of columns."""
-    best = (0.0, 0)
+def agreement(lines: list[str], delimiter: str) -> float:
+    """How far the places of the cells agree over rows of equally many cells: the share of rows in which a column begins, or ends, at its commonest place, as the mean of the columns after the first."""
+    spans = []
+    for x in lines:
+        x = x.expandtabs()
+        if delimiter == "\t":
+            delimiter = "  "
+        if delimiter == "  ":
+            cuts = [m.span() for m in _GAP.finditer(x.rstrip()) if m.start()]
+        else:
+            cuts = [m.span() for m in regex.finditer(regex.escape(delimiter), x)]
+        spans.append(cuts)
+    columns = min(map(len, spans), default=0)
+    if not columns:
+        return 0.0
+    return sum(max(Counter(s[j][e] for s in spans).most_common(1)[0][1] for e in (0, 1)) for j in range(columns)) / (columns * len(spans))
+
+
+def blank_columns(lines: list[str]) -> tuple[float, int, float]:
+    """(share, columns, agreement) of a table laid out with blanks: places that are blank in the rows from top to bottom part its columns.
+
+    Half of the rows must have more than one blank there, which words in running lines don't.
+    """
+    none = (0.0, 0, 0.0)
+    lines = [x.rstrip().expandtabs() for x in lines]
+    if len(lines) < 4 or 2 * sum(bool(_INSIDE.search(x)) for x in lines) < len(lines):
+        return none
+    blank = Counter(p for x in lines for p, c in enumerate(x) if c == " ")
+    reached = Counter(map(len, lines))
+    rivers, left = [], len(lines)
+    for p in range(max(map(len, lines))):
+        left -= reached[p]  # lines that go on at p
+        if left < max(4, 0.5 * len(lines)):
+            break
+        if blank[p] + len(lines) - left >= 0.9 * len(lines) and blank[p] >= 0.5 * len(lines):
+            if rivers and rivers[-1][1] == p:
+                rivers[-1][1] = p + 1
+            else:
+                rivers.append([p, p + 1])
+    rivers = [r for r in rivers if r[0] and sum(not x[: r[0]].isspace() for x in lines) >= 0.9 * len(lines)]
+    rivers = [r for r in rivers if 2 * sum(x[r[1] - 2 : r[1]] == "  " or x[r[0] : r[0] + 2] == "  " for x in lines) >= len(lines)]
+    if not rivers:
+        return none
+    cuts = [0, *(r[1] for r in rivers)]
+    rows = [[x[a:b].strip() for a, b in zip(cuts, [*cuts[1:], len(x)])] for x in lines if all(not x[a:b].strip() for a, b in rivers) and len(x) > rivers[0][1]]
+    if len(rows) < 4:
+        return none
+    cells = [c for r in rows for c in r]
+    if sum(len(c.split()) for c in cells) > 3.2 * len(cells) or sum(map(bool, cells)) < 0.4 * len(cells):
+        return none
+    agreed = len(rows) / len(lines)
+    size = sum(sum(map(len, r)) for r in rows)
+    return min(agreed, size / sum(len(x.replace(" ", "")) for x in lines) if size else 0.0), len(cuts), agreed
+
+
+def table_score(lines: list[str]) -> tuple[float, int, float]:
+    """Best share (of lines, and of characters if that is less) of the table's rows over all delimiters, the number of columns, and how far their places agree."""
+    best = (0.0, 0, 0.0)
     size = sum(map(len, lines))
     for d in DELIMITERS:
         rows, lengths = [], []
@@ -76,18 +140,42 @@ def table_score(lines: list[str]) -> tuple[float, int]:
         cells = [c.strip() for r in same for c in r]
         words = sum(len(c.split()) for c in cells) / len(cells)
         filled = sum(1 for c in cells if c)
-        if words > 3.2 or filled < 0.4 * len(cells):
+        if filled < 0.4 * len(cells):
+            continue
+        # rows of one delimiter need not stand under each other, but if they do it is a table
+        agreed = agreement([x for x in lines if d in x and len(cells_of(x, d)) == columns], d)
+        laid = agreed >= AGREED and len(same) >= 4 and d not in ";,"
+        if words > 3.2 and not (laid and d in "|│"):
             continue
         numeric = sum(1 for c in cells if c and (c == "-" or regex.fullmatch(r"[-—–]+|[\d.,%:/ +-]+", c))) / len(cells)
         if d == "," and columns < 3 and numeric < 0.2:
             continue
-        if d == "  " and numeric < 0.15:
+        if d == "  " and numeric < 0.15 and not laid:
             continue
         if columns == 2 and d in ";," and numeric < 0.3:
             continue
         share = min(len(same) / len(lines), sum(k for r, k in zip(rows, lengths) if len(r) == columns) / size)
         if share > best[0]:
-            best = (share, columns)
+            best = (share, columns, agreed)
+    if best[0] < 0.5:
+        best = max(best, blank_columns(lines))
+    return best
+
+
+def indent_period(lines: list[str]) -> tuple[int, float]:
+    """(lines a period, autocorrelation at that lag) of the indents; (0, 0.0) if all are alike or nothing repeats three times."""
+    indents = [len(y) - len(y.lstrip()) for y in (x.expandtabs() for x in lines)]
+    n = len(indents)
+    mean = sum(indents) / n if n else 0.0
+    var = sum((x - mean) ** 2 for x in indents)
+    if var == 0:
+        return 0, 0.0
+    best = (0, 0.0)
+    for lag in range(2, min(MAX_PERIOD, n // 3) + 1):
+        # of the pairs there are, so that a long period is not held lower
+        corr = sum((a - mean) * (b - mean) for a, b in zip(indents, indents[lag:])) / var * n / (n - lag)
+        if corr > best[1] + 1e-9:
+            best = (lag, corr)
     return best
 
 
@@ -117,10 +205,27 @@ def entry(line: str, words: int) -> bool:
     return words <= 3 and s[-1] not in ".!?…"
 
 
+def unit_entries(lines: list[str], period: int) -> float:
+    """Share (of lines, and of characters if that is less) of the lines in units of ``period`` lines that are one short entry of a list."""
+    least = min(len(x) - len(x.lstrip()) for x in lines)
+    first = next(i for i, x in enumerate(lines) if len(x) - len(x.lstrip()) == least)
+    held, size = 0, 0
+    for i in range(first, len(lines), period):
+        unit = lines[i : i + period]
+        joined = " ".join(x.strip() for x in unit)
+        words = len(joined.split())
+        # verse has signs at the ends of its lines
+        bare = all(x.rstrip()[-1] not in ",.;:!?…" for x in unit)
+        if entry(joined, words) or bare and words <= 9 and entry(unit[0], len(unit[0].split())):
+            held += len(unit)
+            size += sum(map(len, unit))
+    return min(held / len(lines), size / sum(map(len, lines)))
+
+
 class Stats:
     """All measures of one text."""
 
-    __slots__ = ("n_words", "mean_word_len", "symbol_ratio", "digit_ratio", "end_punct_share", "common_share", "n_lines", "mean_line_len", "entry_share", "table_share", "columns", "indent_share", "length_corr", "vowel_ratio", "repeat_share", "long_share", "single_share", "markup_share", "kind")
+    __slots__ = ("n_words", "mean_word_len", "symbol_ratio", "digit_ratio", "end_punct_share", "common_share", "n_lines", "mean_line_len", "entry_share", "table_share", "columns", "column_agreement", "indent_share", "indent_period", "indent_corr", "length_corr", "vowel_ratio", "repeat_share", "long_share", "single_share", "markup_share", "kind")
 
     def __init__(self, text: str, common_words: frozenset[str]):
         lines = [x for x in text.splitlines() if x.strip()]
@@ -139,8 +244,9 @@ class Stats:
         counts = [len(x.split()) for x in lines]
         entries = [len(x) for x, k in zip(lines, counts) if entry(x, k)]
         self.entry_share = min(len(entries) / len(lines), sum(entries) / sum(map(len, lines))) if lines else 0.0
-        self.table_share, self.columns = table_score(lines) if len(lines) >= 3 else (0.0, 0)
+        self.table_share, self.columns, self.column_agreement = table_score(lines) if len(lines) >= 3 else (0.0, 0, 0.0)
         self.indent_share = sum(bool(_BULLET.match(x)) or x[0] in " \t" for x in lines) / len(lines) if lines else 0.0
+        self.indent_period, self.indent_corr = indent_period(lines) if len(lines) >= 6 and any(x[0] in " \t" for x in lines) else (0, 0.0)
         self.length_corr = autocorrelation([len(x) for x in lines])
         lower = text.lower()
         known, alphabetic = _size(_VOWEL, lower), _size(_ALPHABETIC, lower)
@@ -171,10 +277,14 @@ class Stats:
             return "junk"
         if self.n_lines >= 3 and self.entry_share >= 0.5:
             return "list"
+        if self.n_lines >= 6:
+            period = self.indent_period if self.indent_corr >= PERIODIC else 2 if self.length_corr <= ALTERNATING else 0
+            if period and unit_entries(lines, period) >= 0.5:
+                return "list"
         return None
 
 
-COLUMNS = "n_words long, mean_word_len double, symbol_ratio double, digit_ratio double, end_punct_share double, common_share double, n_lines long, mean_line_len double, entry_share double, table_share double, columns long, indent_share double, length_corr double, vowel_ratio double, repeat_share double, long_share double, single_share double, markup_share double, kind string"
+COLUMNS = "n_words long, mean_word_len double, symbol_ratio double, digit_ratio double, end_punct_share double, common_share double, n_lines long, mean_line_len double, entry_share double, table_share double, columns long, column_agreement double, indent_share double, indent_period long, indent_corr double, length_corr double, vowel_ratio double, repeat_share double, long_share double, single_share double, markup_share double, kind string"
 
 
 def text_stats(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -319,3 +319,47 @@ def test_stats_frame(spark):
     assert rows[1].n_words == 0 and rows[2].kind is None
     assert rows[3].n_words == 3 and abs(rows[3].common_share - 1 / 3) < 1e-9 and rows[3].end_punct_share == 1.0
     assert P10.text_stats(docs.where("doc_id > 9"), words).count() == 0
+
+
+def padded(rows, gap="  "):
+    widths = [max(map(len, c)) for c in zip(*rows)]
+    return "\n".join(gap.join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in rows)
+
+
+WORDS = [("яблоко", "красное", "сладкое"), ("груша", "жёлтая", "мягкая"), ("слива", "тёмно-синяя", "кислая"), ("айва", "светлая", "твёрдая"), ("вишня", "алая", "терпкая")]
+LONG = [(a + " очень спелая", b + " снаружи и внутри", c + " на вкус осенью") for a, b, c in WORDS]
+VERSE = ["Белый снег лежит на крыше,", "Ветер спит,", "Голос матери всё тише,", "Дом молчит,", "За рекой дымок кудрявый,", "Путь далёк,", "Над замёрзшею дубравой", "Огонёк."]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        (padded(WORDS), "table"),  # words under each other, no numbers
+        (padded([tuple(c.rjust(12) for c in r) for r in WORDS]), "table"),
+        (padded(WORDS, " "), "table"),  # one blank beside the longest cell
+        (padded(LONG, " | "), "table"),
+        ("\n".join("| ".join(r) for r in LONG), None),
+        # entries over two lines: by indents, and by lengths
+        ("\n".join(f"- {'бава' * k}\n    {'ваба' * k} и не другое" for k in range(1, 9)), "list"),
+        ("\n".join(f"{a}\nплод {b} и {c} на вкус осенью" for a, b, c in WORDS), "list"),
+        # the same shapes in verse and prose
+        ("\n".join(VERSE), None),
+        ("\n".join(("    " if k % 2 else "") + x for k, x in enumerate(VERSE)), None),
+        ("\n".join("  ".join(PROSE.split()[k : k + 7]) for k in range(0, 35, 7)), None),
+        ("\n".join(" ".join(PROSE.split()[k : k + 7]).replace(" ", "   ", 2) for k in range(0, 35, 7)), None),
+    ],
+)
+def test_layout(text, kind):
+    assert P10.Stats(text, frozenset()).kind == kind
+
+
+def test_layout_measures():
+    assert P10.agreement(padded(WORDS).split("\n"), "  ") == 1.0
+    assert P10.agreement(["a;bb;c", "aaa;b;c", "aaaaa;b;c"], ";") < 0.5
+    assert P10.agreement(["a\tb", "aaaa\tb"], "\t") == 1.0
+    for p in (2, 3, 5):
+        period, corr = P10.indent_period([" " * (4 * (k % p > 0)) + "слово" for k in range(6 * p)])
+        assert period == p and corr > P10.PERIODIC
+    assert P10.indent_period(["слово"] * 9) == (0, 0.0) and P10.indent_period([]) == (0, 0.0)
+    s = P10.Stats("\n".join(f"{a}\n  {b}" for a, b, _ in WORDS), frozenset())
+    assert s.indent_period == 2 and s.indent_corr > P10.PERIODIC
