@@ -160,6 +160,15 @@ def g11(spark, d):
     return AL.parse_verses(v.select("pair_id", page.alias("t")), "pair_id", "t", "КОРТ[АН]*").select("pair_id", "chapter", "verse")
 
 
+@C.add("G11_parse_verses_full")
+def g11_full(spark, d):
+    """The same over every verse with a reference, whatever its text, with the text; SQL can't follow the lines."""
+    v = table(spark, d, PAR).where("verse_ref is not null")
+    ref = F.split("verse_ref", ":")
+    page = F.concat(F.lit("КОРТА "), F.get(ref, F.lit(0)), F.lit("\n"), F.get(ref, F.lit(1)), F.lit(". "), F.regexp_replace("ing", "^[\\s\\p{Z}]+", ""))
+    return AL.parse_verses(v.select("pair_id", page.alias("t")), "pair_id", "t", "КОРТ[АН]*")
+
+
 # ---- composites
 
 

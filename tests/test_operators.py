@@ -12,6 +12,7 @@ from lexloom.operators import align as AL
 from lexloom.operators import filters as O
 from lexloom.operators import relations as R
 from lexloom.operators import spelling as SP
+from lexloom.plans import lexicon_queries as LQ
 from lexloom.sources import catalog as CA
 from lexloom.sources import html as H
 from lexloom.sources import lines as L
@@ -125,6 +126,40 @@ def test_verses(spark):
     assert {(r.chapter, r.verse): r.text for r in rows} == {(1, 1): "one more", (1, 79): "late", (1, 80): "later", (2, 1): "first", (2, 2): "second"}
 
 
+def write_tables(spark, folder, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_verses_full(spark, tmp_path):
+    texts = [
+        "Простой стих.", "Стих, с запятой: «и кавычкой» – ё, ӏ, 12!", "первая строка\nвторая,\n\n третья", "\n с пустой строки", "скан 1 ~ № |шум|", "без точки",
+        "до главы\nКОРТА 9\nпосле неё", "один\n4. другой\nдальше", "", "  ", None,
+    ]
+    rows = [(k, t, "verse", f"{2 + k % 3}:{1 + k * 2}") for k, t in enumerate(texts)] + [(50, "нет ссылки", "verse", None), (51, "плохая", "verse", "7")]
+    d = write_tables(spark, tmp_path, parallel_ing_rus=(rows, "pair_id bigint, ing string, pair_type string, verse_ref string"))
+    want = set()
+    for k, t, _, ref in rows:
+        if t is None or ref is None or ":" not in ref or not t.strip():
+            continue
+        (chapter, verse), head = map(int, ref.split(":")), None
+        held, at = {}, (chapter if verse <= 5 else 1, verse)
+        head = None if verse <= 5 else chapter
+        for line in (x.strip() for x in t.split("\n")):
+            number = line.split(".")[0]
+            if line.startswith("КОРТА"):
+                head = int(line.split()[1])
+            elif line and number.isdigit():
+                at = (head if head and int(number) <= 5 else at[0], int(number))
+                held.setdefault(at, []).append(line.split(". ", 1)[1])
+            elif line:
+                held.setdefault(at, []).append(line)
+        want |= {(k, *a, " ".join(x)) for a, x in held.items()}
+    got = [tuple(r) for r in LQ.QUERIES["G11_parse_verses_full"](spark, d).select("pair_id", "chapter", "verse", "text").collect()]
+    assert set(got) == want and len(got) == len(want) == 9
+
+
 def test_token_bucket(spark):
     df = spark.createDataFrame([("a", 0.0, i) for i in range(31)] + [("a", 2.0, 31), ("a", 2.0, 32)], "k string, t double, e int")
     got = {r.e: r.allowed for r in B.allow(df, "k", "t", "e").collect()}
