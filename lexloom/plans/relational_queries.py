@@ -433,6 +433,14 @@ def j18(spark, d):
     return b.where("pair_id % 5 = 0").select("w1", "w2").distinct().join(seen, ["w1", "w2"], "left_anti")
 
 
+@C.add("J18_unseen_bigrams_full")
+def j18_full(spark, d):
+    """The same over the bigrams of all pairs."""
+    b = bigrams(table(spark, d, PAR), "pair_id", "ing")
+    n = b.groupBy("w1", "w2").agg(F.count("*").alias("n"))
+    return b.select("w1", "w2").distinct().join(n.where("n >= 2").select("w1", "w2"), ["w1", "w2"], "left_anti")
+
+
 @C.add("J19_pair_cosine", "select a.vec_id, round(list_inner_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 def j19(spark, d):
     e = table(spark, d, "embeddings")

@@ -1,6 +1,7 @@
 """Operators on small fixtures, and against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from lexloom.operators import filters as O
 from lexloom.operators import relations as R
 from lexloom.operators import spelling as SP
 from lexloom.plans import lexicon_queries as LQ
+from lexloom.plans import relational_queries as RQ
 from lexloom.sources import catalog as CA
 from lexloom.sources import html as H
 from lexloom.sources import lines as L
@@ -160,6 +162,17 @@ def test_verses_full(spark, tmp_path):
     assert set(got) == want and len(got) == len(want) == 9
 
 
+def test_unseen_bigrams_full(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["дом", "лес", "река", "гора", "поле", "снег", "ветер", "дождь"]) for _ in range(rng.randint(1, 5)))) for k in range(40)] + [(90, None), (91, "")]
+    d = write_tables(spark, tmp_path, parallel_ing_rus=(rows, "pair_id bigint, ing string"))
+    n = Counter(b for _, t in rows if t for b in zip(t.split(), t.split()[1:]))
+    got = [tuple(r) for r in RQ.QUERIES["J18_unseen_bigrams_full"](spark, d).select("w1", "w2").collect()]
+    assert len(got) == len(set(got)) > 5 and set(got) == {b for b, c in n.items() if c == 1}
+    cut = {tuple(r) for r in RQ.QUERIES["J18_unseen_bigrams"](spark, d).select("w1", "w2").collect()}
+    assert cut < set(got)
+
+
 def test_token_bucket(spark):
     df = spark.createDataFrame([("a", 0.0, i) for i in range(31)] + [("a", 2.0, 31), ("a", 2.0, 32)], "k string, t double, e int")
     got = {r.e: r.allowed for r in B.allow(df, "k", "t", "e").collect()}
