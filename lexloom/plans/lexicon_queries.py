@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -337,13 +340,23 @@ def c15(spark, d):
     return t.select("pair_id", F.when((F.coalesce("pair_type", F.lit("")) == "poem") | (n < 4), whole).otherwise("align").alias("verdict"))
 
 
+def titled(c):
+    """(title, body): the first line that isn't blank, if it is a heading of at most eight words in capitals."""
+    first = S.strip(F.regexp_extract(c, "^\\s*(\\S[^\\n]*)", 1))
+    heading = (F.size(F.split(first, "\\s+")) <= 8) & (F.upper(first) == first) & first.rlike("\\p{L}")
+    return F.when(heading, first), F.when(heading, S.strip(F.regexp_replace(c, "^\\s*\\S[^\\n]*", ""))).otherwise(c)
+
+
 @C.add("C16_resplit")
 def c16(spark, d):
     """Title pair and aligned body, or the whole body where nothing aligns."""
     t = table(spark, d, PAR).where("pair_type = 'bilingual_para' and ing is not null and rus is not null")
+    (ing_title, ing), (rus_title, rus) = titled(F.col("ing")), titled(F.col("rus"))
+    t = t.select("pair_id", ing_title.alias("ing_title"), rus_title.alias("rus_title"), ing.alias("ing"), rus.alias("rus"))
+    titles = t.where("ing_title is not null and rus_title is not null").select("pair_id", F.col("ing_title").alias("ing"), F.col("rus_title").alias("rus"))
     aligned = AL.align_lengths(t.select("pair_id", W.sentences_kept(F.col("ing")).alias("a"), W.sentences_kept(F.col("rus")).alias("b")), "pair_id", "a", "b")
     rest = t.join(aligned.select("pair_id").distinct(), "pair_id", "left_anti").where("length(ing) > 20 and length(rus) > 20").select("pair_id", "ing", "rus")
-    return aligned.unionByName(rest)
+    return titles.unionByName(aligned).unionByName(rest)
 
 
 @C.add("C17_catalog_build", "select slug, priority, category_slug, title from (select *, row_number() over (partition by slug order by priority, title, download_count) n from book_catalog) where n = 1 and slug not in (select slug from download_state where starts_with(status, 'ok') and slug is not null)")
@@ -360,24 +373,55 @@ def c18(spark, d):
     return o.groupBy(era.alias("era")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
+_TOKEN = "([\\p{L}\\p{M}\\p{N}]+(?:-[\\p{L}\\p{M}\\p{N}]+)*|[^\\s\\p{Z}])"
+
+
+def bleu_tokens(c):
+    """Words and signs, small letters."""
+    return F.regexp_extract_all(F.lower(c), F.lit(_TOKEN), 1)
+
+
+def clipped(pairs, hyp: str, ref: str, most: int = 4):
+    """(n, hit, total, h_len, r_len): clipped matches of the n-grams of two word arrays, all n-grams, and all words; the counts of a row stay in its task."""
+
+    def run(batches):
+        out = {n: [0, 0, 0, 0] for n in range(1, most + 1)}
+        for b in batches:
+            for h, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h, r = h or [], r or []
+                for n, sums in out.items():
+                    hyps, refs = (Counter(zip(*(x[i:] for i in range(n)))) for x in (h, r))
+                    sums[0] += (hyps & refs).total()
+                    sums[1] += hyps.total()
+                    sums[2] += len(h)
+                    sums[3] += len(r)
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), *(pa.array(x, pa.int64()) for x in zip(*out.values()))], names=["n", "hit", "total", "h_len", "r_len"])
+
+    return pairs.select(hyp, ref).mapInArrow(run, "n int, hit bigint, total bigint, h_len bigint, r_len bigint").groupBy("n").agg(*(F.sum(c).alias(c) for c in ("hit", "total", "h_len", "r_len")))
+
+
 @C.add("A18_corpus_bleu")
 def a18(spark, d):
-    """BLEU of the translations with each word's dictionary meaning against the given ones: clipped n-gram counts as joins."""
-    t = table(spark, d, PAR).where("pair_type = 'word_pair' and ing is not null and rus is not null").select("pair_id", F.lower("rus").alias("ref"), F.lower("ing").alias("ing"))
-    meaning = t.select("pair_id", F.posexplode(F.split("ing", " ")).alias("i", "word")).join(Q.translations(spark, d), "word", "left").groupBy("pair_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("translation", "word").alias("t")))), lambda x: x["t"]), " ").alias("hyp"))
-    j = t.join(meaning, "pair_id")
-
-    def grams(col: str, n: int):
-        w = F.split(col, " ")
-        g = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", F.slice(w, i + 1, n))))
-        return j.select("pair_id", F.explode(g).alias("g")).groupBy("pair_id", "g").agg(F.count("*").alias("c"))
-
-    out = None
-    for n in (1, 2):
-        h, r = grams("hyp", n), grams("ref", n).withColumnRenamed("c", "r")
-        part = h.join(r, ["pair_id", "g"], "left").agg(F.lit(n).alias("n"), F.sum(F.least("c", F.coalesce("r", F.lit(0)))).alias("hit"), F.sum("c").alias("all"))
-        out = part if out is None else out.unionByName(part)
-    return out.select("n", F.round(F.col("hit") / F.col("all"), 6).alias("precision"))
+    """BLEU of the translations with each word's dictionary meaning against the given ones, over every pair with both sides.
+
+    (n, precision, brevity_penalty, bleu) for n from 1 to 4, the last two the same in each row.
+    As in sacreBLEU an order without a match counts as half, then a quarter, ... of one, and
+    the score is 0 if there are no matches or no n-grams of an order at all.
+    """
+    t = table(spark, d, PAR).where("ing is not null and rus is not null").select("pair_id", "ing", "rus")
+    words = t.select("pair_id", F.posexplode(bleu_tokens(S.normalize_palochka(F.col("ing")))).alias("i", "word"))
+    words = words.join(Q.translations(spark, d), "word", "left").select("pair_id", "i", F.coalesce("translation", "word").alias("t"))
+    # the reference comes as the entry before the first word, so it moves once
+    whole = words.unionByName(t.select("pair_id", F.lit(-1).alias("i"), F.col("rus").alias("t"))).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("w"))
+    hyp = F.array_join(F.transform(F.filter("w", lambda x: x["i"] >= 0), lambda x: x["t"]), " ")
+    sums = clipped(whole.select(bleu_tokens(hyp).alias("hyp"), bleu_tokens(F.col("w")[0]["t"]).alias("ref")), "hyp", "ref")
+    every = sums.agg(F.sort_array(F.collect_list(F.struct("n", "hit", "total"))).alias("a"), F.max("h_len").alias("h"), F.max("r_len").alias("r"))
+    none = lambda x: F.size(F.filter("a", lambda y: (y["hit"] == 0) & (y["n"] <= x["n"])))
+    smooth = F.transform("a", lambda x: F.when(x["hit"] > 0, x["hit"] / x["total"]).otherwise(F.try_divide(F.pow(F.lit(0.5), none(x)), x["total"])))
+    penalty = F.when(F.col("h") >= F.col("r"), 1.0).when(F.col("h") > 0, F.exp(1 - F.col("r") / F.col("h"))).otherwise(0.0)
+    score = F.when(F.forall("a", lambda x: x["total"] > 0) & F.exists("a", lambda x: x["hit"] > 0), penalty * F.exp(F.aggregate(smooth, F.lit(0.0), lambda s, x: s + F.log(x)) / F.size("a"))).otherwise(0.0)
+    every = every.select("a", penalty.alias("p"), score.alias("s"))
+    return every.select(F.explode("a").alias("x"), "p", "s").select("x.n", F.round(F.try_divide(F.col("x.hit"), F.col("x.total")), 6).alias("precision"), F.round("p", 6).alias("brevity_penalty"), F.round("s", 6).alias("bleu"))
 
 
 # ---- streams

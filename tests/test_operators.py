@@ -1,5 +1,6 @@
 """Operators on small fixtures, and against brute force."""
 
+import math
 import random
 from collections import Counter
 
@@ -173,6 +174,60 @@ def test_unseen_bigrams_full(spark, tmp_path):
     assert cut < set(got)
 
 
+def test_resplit(spark, tmp_path):
+    a, b = "Первое предложение стоит здесь.", "Второе предложение идёт за ним."
+    rows = [
+        (1, f"\nДЕНИ НАРТ\n{a} {b}", f"НАРТ И ДЕНЬ\n{a} {b}"),  # title pair and two sentences
+        (2, f"ДЕНИ\n{a}", f"{a}"),  # one side only: no title pair
+        (3, "НАРТ\nодно длинное начало без конца", "НАРТ\n" + "кто? что? где? " * 2),  # nothing aligns: bodies without titles
+        (4, "НАРТ", "ГЕРОЙ"), (5, "1 2 3\n" + a, "4 5\n" + a), (6, None, "НАРТ"), (7, "", ""),
+    ]
+    d = write_tables(spark, tmp_path, parallel_ing_rus=([(*r, "bilingual_para") for r in rows], "pair_id bigint, ing string, rus string, pair_type string"))
+    got = [tuple(r) for r in LQ.QUERIES["C16_resplit"](spark, d).select("pair_id", "ing", "rus").collect()]
+    want = {(1, "ДЕНИ НАРТ", "НАРТ И ДЕНЬ"), (1, a, a), (1, b, b), (2, a, a), (3, "НАРТ", "НАРТ"), (3, "одно длинное начало без конца", "кто? что? где? кто? что? где?"), (4, "НАРТ", "ГЕРОЙ"), (5, "1 2 3 " + a, "4 5 " + a)}
+    assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("matches", [True, False])
+def test_corpus_bleu(spark, tmp_path, matches):
+    rng = random.Random(12)
+    ing, rus = (["а" + x * 3 for x in "бвгдежзклм"], ["о" + x * 3 for x in "бвгдежзклм"])
+    meaning = dict(zip(ing, [*rus[:8], "два слова", rus[0]])) if matches else dict(zip(ing, "абвгдежзик"))
+    rows = []
+    for k in range(60):
+        w = [rng.choice(ing) for _ in range(rng.randint(1, 9))]
+        r = [y for x in w for y in meaning[x].split()] if matches else [rus[0] for _ in w]
+        r += [rng.choice(rus) for _ in range(rng.randint(0, 3))]
+        rows.append((k, ", ".join(w).capitalize(), ", ".join(r) + ".", rng.choice(["word_pair", "sentence", None])))
+    rows += [(90, None, "дом", "word_pair"), (91, "дом", None, "word_pair"), (92, "", "дом", "verse")]
+    d = write_tables(spark, tmp_path, parallel_ing_rus=(rows, "pair_id bigint, ing string, rus string, pair_type string"), translations=(list(meaning.items()), "word string, translation string"))
+    hits, alls, h_len, r_len = [0] * 4, [0] * 4, 0, 0
+    for _, i, r, _ in rows:
+        if i is None or r is None:
+            continue
+        h = [y for x in i.lower().replace(",", " ,").split() for y in meaning.get(x, x).split()]
+        r = r.lower().replace(",", " ,").replace(".", " .").split()
+        h_len, r_len = h_len + len(h), r_len + len(r)
+        for n in range(4):
+            left = [tuple(r[k : k + n + 1]) for k in range(len(r) - n)]
+            for k in range(len(h) - n):
+                alls[n] += 1
+                if (g := tuple(h[k : k + n + 1])) in left:
+                    left.remove(g)
+                    hits[n] += 1
+    penalty = 1.0 if h_len >= r_len else math.exp(1 - r_len / h_len)
+    logs, half = 0.0, 1.0
+    for n in range(4):
+        half = half if hits[n] else half / 2
+        logs += math.log((hits[n] or half) / alls[n])
+    want = penalty * math.exp(logs / 4)
+    got = sorted(LQ.QUERIES["A18_corpus_bleu"](spark, d).collect())
+    assert (hits[3] > 0) == matches and h_len < r_len
+    assert [r.n for r in got] == [1, 2, 3, 4]
+    assert [r.precision for r in got] == pytest.approx([h / n for h, n in zip(hits, alls)], abs=1e-6)
+    assert all(r.bleu == pytest.approx(want, abs=1e-6) and r.brevity_penalty == pytest.approx(penalty, abs=1e-6) for r in got)
+
+
 def test_token_bucket(spark):
     df = spark.createDataFrame([("a", 0.0, i) for i in range(31)] + [("a", 2.0, 31), ("a", 2.0, 32)], "k string, t double, e int")
     got = {r.e: r.allowed for r in B.allow(df, "k", "t", "e").collect()}
