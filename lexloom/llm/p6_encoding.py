@@ -17,6 +17,8 @@ bytes (U+FFFD) is repaired as far as its bytes are there.
 
 from __future__ import annotations
 
+import codecs
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -41,6 +43,12 @@ for _c, _i in _CODE.items():
 #: Characters that running text of any language here may hold.
 PLAIN = set(" \t\n\r.,!?:;-–—«»„“”‘’\"'()[]{}…№%&/*+=<>@#$^_|~\\`§°•·") | set("0123456789")
 
+_CODES = {ord(c): chr(i) for c, i in _CODE.items()}
+_LETTERS = regex.compile("([а-яёА-ЯЁ]+)[.,!?:;]*")
+_WORD = regex.compile("[А-Я]?[а-яӏӀI1]+(?:-[а-яӏӀI1]+)?[-.,!?:;…]*")
+#: A capital right after a small letter.
+_CHANGE = regex.compile("(?<=[а-яё])[А-ЯЁ]")
+
 #: Lines that are drawn, if a piece has nothing else.
 FRAME = set("─│┌┐└┘├┤┬┴┼═║╔╗╚╝╠╣╦╩╬▀▄█░▒▓■.,;:!?()\"'")
 
@@ -69,26 +77,48 @@ def _views() -> dict[str, dict[str, int]]:
 VIEWS = _views()
 #: (read with, written in)
 PAIRS = tuple((v, t) for v in VIEWS for t in ("utf-8", "cp1251", "koi8-r", "cp866") if v != t)
+_BY_VIEW = [(v, [(k, t) for k, (w, t) in enumerate(PAIRS) if w == v]) for v in VIEWS]
 #: No open stretch of a pair: (gain, first piece).
 NONE = (0.0, -1)
 
 
-def back(piece: str, view: str, true: str) -> str | None:
-    """The piece as it was written, if it was written in ``true`` and read as ``view``."""
-    table = VIEWS[view]
+def written(piece: str, view: str, lost: bool = False) -> bytes | None:
+    """The bytes of a piece that was read as ``view``; ``lost`` ones are guessed from UTF-8 lead bytes."""
+    if not lost:
+        try:
+            return codecs.charmap_encode(piece, "strict", VIEWS[view])[0]
+        except UnicodeEncodeError:
+            return None
     out = bytearray()
     for c in piece:
-        b = table.get(ord(c))
+        b = VIEWS[view].get(ord(c))
         if b is None:
-            if c != "�" or view != "cp1252" or true != "utf-8":
+            if c != "\ufffd":
                 return None
             # a lost byte: the likeliest one after its lead byte (Ð; с; Н)
             b = {0xC3: 0x90, 0xD1: 0x81}.get(out[-1] if out else 0, 0x9D)
         out.append(b)
-    try:
-        return out.decode(true)
-    except UnicodeDecodeError:
-        return None
+    return bytes(out)
+
+
+def decodings(piece: str) -> list[tuple[int, str]]:
+    """(pair number, piece as written) of every pair of encodings that decodes strictly."""
+    out = []
+    for view, own in _BY_VIEW:
+        raw = written(piece, view)
+        for k, true in own:
+            data = written(piece, view, True) if raw is None and view == "cp1252" and true == "utf-8" and "\ufffd" in piece else raw
+            if data is not None:
+                try:
+                    out.append((k, data.decode(true)))
+                except UnicodeDecodeError:
+                    pass
+    return out
+
+
+def back(piece: str, view: str, true: str) -> str | None:
+    """The piece as it was written, if it was written in ``true`` and read as ``view``."""
+    return dict(decodings(piece)).get(PAIRS.index((view, true)))
 
 
 def bigram_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -121,19 +151,43 @@ class Repairer:
     def __init__(self, bits: np.ndarray):
         self.bits = [list(map(float, row)) for row in bits]
         self.costs: dict[str, float] = {}
-        self.decoded: dict[tuple, tuple] = {}
+        self.decoded: dict[str, list] = {}
+        self.gaining: dict[str, list] = {}
 
     def cost(self, piece: str) -> float:
         """Garbling cost of a piece in bits."""
         known = self.costs.get(piece)
         if known is not None:
             return known
+        plain = _LETTERS.fullmatch(piece)
+        if plain:
+            total = self.letters(plain.group(1)) + 2 * (len(piece) - plain.end(1))
+        else:
+            total = self.signs(piece)
+        if len(self.costs) > 300_000:
+            self.costs.clear()
+        self.costs[piece] = total
+        return total
+
+    def letters(self, word: str) -> float:
+        """Cost of a piece that has nothing but letters of the alphabet, the common case."""
+        codes = word.translate(_CODES).encode("latin-1")
+        total = self.bits[0][codes[0]] + sum([self.bits[a][b] for a, b in zip(codes, codes[1:])])
+        if not word.islower():
+            if len(word) > 2 and word.isupper():
+                total += 4
+            total += 6 * len(_CHANGE.findall(word))
+        return total
+
+    def signs(self, piece: str, limit: float = 1e18) -> float:
+        """Cost of any piece; a lower bound above ``limit`` if it is dearer than that."""
         total, before, kind = 0.0, 0, ""
         lower = False
-        letters = [c for c in piece if c.isalpha()]
-        if len(letters) > 2 and piece.upper() == piece:
+        if piece.upper() == piece and sum(map(str.isalpha, piece)) > 2:
             total += 4
         for at, c in enumerate(piece):
+            if total > limit:
+                break
             code = _CODE.get(c, 0)
             if code:
                 total += self.bits[before][code] if before or kind != "c" else 5.0
@@ -169,9 +223,6 @@ class Repairer:
                 total += 14
                 lower, kind = False, "x"
             before = code
-        if len(self.costs) > 300_000:
-            self.costs.clear()
-        self.costs[piece] = total
         return total
 
     def tried(self, piece: str) -> list:
@@ -183,15 +234,32 @@ class Repairer:
                 now = self.cost(piece)
                 lettered = any(c.isalpha() for c in piece)
                 drawn = all(c in FRAME for c in piece)  # no reason of its own to be decoded
-                for k, (view, true) in enumerate(PAIRS):
-                    was = back(piece, view, true)
-                    if was is not None:
-                        known.append((k, was, 0.0 if drawn else now - self.cost(was) - (12 if lettered and not any(c.isalpha() for c in was) else 0)))
+                for k, was in decodings(piece):
+                    known.append((k, was, 0.0 if drawn else now - self.cost(was) - (12 if lettered and not any(c.isalpha() for c in was) else 0)))
             if len(self.decoded) > 100_000:
                 self.decoded.clear()
             self.decoded[piece] = known
         return known
 
+    def gains(self, piece: str) -> list:
+        """(pair number, gain) of the pairs that gain by this piece alone."""
+        known = self.gaining.get(piece)
+        if known is None:
+            known = []
+            if not all(c in FRAME for c in piece):
+                now = self.cost(piece)
+                for k, was in decodings(piece):
+                    cost = self.costs.get(was)
+                    if cost is None:
+                        plain = _LETTERS.fullmatch(was)
+                        cost = self.letters(plain.group(1)) + 2 * (len(was) - plain.end(1)) if plain else self.signs(was, now)
+                    if cost < now:
+                        known.append((k, now - cost))
+            if len(self.gaining) > 100_000:
+                self.gaining.clear()
+            self.gaining[piece] = known
+        return known
+
     def layer(self, pieces: list[str], run: list, start: int, end: int) -> tuple[tuple[float, int, int, int], list]:
         """Best (gain, pair, first, last) over all pairs and the stretches that end in [start, end), and the open stretches at ``end``.
 
@@ -234,6 +302,14 @@ class Repairer:
         whose open stretches have changed are looked at again.
         """
         pieces = regex.split(r"([ \n\r\t]+)", text)
+        # no stretch gains more than all its pieces that gain by themselves, which plain words don't
+        most = [0.0] * len(PAIRS)
+        for piece in pieces:
+            if not piece.isascii() and not _WORD.fullmatch(piece):
+                for k, gain in self.gains(piece):
+                    most[k] += gain
+        if max(most) < MIN_GAIN:
+            return text, 0.0
         blocks = -(-len(pieces) // BLOCK)
         opened = [[NONE] * len(PAIRS)] + [None] * blocks
         bests = [None] * blocks
