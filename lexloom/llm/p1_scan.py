@@ -1,23 +1,28 @@
 """Problem 1: noise in text from scanned pages.
 
 A page is read line by line.  Page furniture (page numbers, running heads) is told by
-the shape of a line and its place between other lines, words broken at line ends are
-joined across it, and a word in which digits, signs or letters of another script stand
-among its own letters is replaced: a Levenshtein automaton is run over a trie of the
-corpus's vocabulary, so every word within the distance comes out, and the candidates
-are ranked by the letters that scanners confuse, their frequency, and how often they
-follow the word before.  Lines are then reflowed into paragraphs.
-
-The vocabulary is counted over all rows; the ``VOCABULARY`` most frequent words and a
-table of ``PAIRS`` hashed counts of neighbours go to the executors, so what is sent
-has a fixed bound.
+the shape of a line and its place between other lines, and words broken at line ends
+are joined across it.  A word in which digits, signs or letters of another script stand
+among its own letters is a suspect.  Its letters, each with what scanners read for it,
+make a Levenshtein automaton that is intersected with a trie of the corpus's vocabulary,
+so every word that can win comes out; the candidates and the suspect as it stands are
+ranked by edits, frequency and how often they stand beside the neighbouring words.  Only a
+suspect that a vocabulary word beats is noise: a form that the corpus itself uses (a paper
+size, a model number) stays.  Lines are then reflowed into paragraphs.
+
+Every word of the corpus is vocabulary.  Suspects are distinct forms before they are looked
+up, and vocabulary and forms meet in a grid of at most ``SHARD`` words by ``FORMS`` forms a
+task, so neither goes to the driver or to every executor; only ``PAIRS`` hashed counts of
+neighbours do.
 
 Defined results: null, empty and blank texts have no noise; a heading that opens a
-text, hard line breaks and the spellings of the palochka are none.
+text, hard line breaks and the spellings of the palochka are none; a suspect that no
+vocabulary word is near stays as it is and doesn't count; repeated rows count once.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
@@ -30,7 +35,11 @@ from pyspark.sql import functions as F
 from . import common
 from . import p6_encoding as p6
 
-VOCABULARY, MIN_COUNT, PAIRS, FLUSH = 40_000, 3, 1 << 17, 300_000
+PAIRS, FLUSH = 1 << 17, 300_000
+#: Most words of a trie and forms of a block in one task of the grid.
+SHARD, FORMS = 100_000, 50_000
+#: Cost of an edit and of leaving a misread sign, in tens; most that the word on either side can give.
+EDIT, MISREAD, BESIDE = 5.0, 0.5, 1.0
 
 #: What scanners read for a Cyrillic letter.
 CONFUSED = {
@@ -86,31 +95,58 @@ def is_furniture(line: str) -> bool:
     return False
 
 
+_UNITS = sorted((k for k in CONFUSED if len(k) > 1), key=len, reverse=True)
+
+
+def units(form: str) -> list[list[str]]:
+    """What a misread form may stand for: in each place the letters that are as good as one another.
+
+    Signs of several letters may also be what they look like, so there are up to two readings.
+    """
+
+    def single(c: str) -> str:
+        low = fold(c)
+        return "".join(dict.fromkeys(low + CONFUSED.get(c, "") + CONFUSED.get(low, "")))
+
+    joined, at = [], 0
+    while at < len(form):
+        u = next((u for u in _UNITS if form.startswith(u, at)), None)
+        if u:
+            joined.append(CONFUSED[u])
+            at += len(u)
+        else:
+            if form[at] not in NOISE_SIGNS:
+                joined.append(single(form[at]))
+            at += 1
+    apart = [single(c) for c in form if c not in NOISE_SIGNS]
+    return [joined] if joined == apart else [joined, apart]
+
+
 class Trie:
     """Words with their counts; nodes are dicts, a word's number stands under the key ""."""
 
-    def __init__(self, counts: list[tuple[str, int]]):
-        self.words = [w for w, _ in counts]
-        self.count = [n for _, n in counts]
-        self.number = {w: i for i, w in enumerate(self.words)}
+    def __init__(self, words: list[str], counts: list[int]):
+        self.words, self.count = words, counts
         self.root: dict = {}
-        for i, w in enumerate(self.words):
+        for i, w in enumerate(words):
             node = self.root
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = i
+        self.most = math.log10(max(counts, default=1))
 
-    def within(self, word: str, k: int) -> list[tuple[int, int]]:
-        """(number, distance) of all words at Levenshtein distance k or less.
+    def within(self, form: list[str], k: int) -> list[tuple[int, int]]:
+        """(number, distance) of all words at Levenshtein distance k or less from a reading.
 
-        The automaton's state is a bit set of positions in ``word`` for each number of
+        The automaton's state is a bit set of places in ``form`` for each number of
         errors; it walks down the trie and leaves a branch once the state is empty.
         """
-        n = len(word)
+        n = len(form)
         accept = 1 << n
         where: dict[str, int] = {}
-        for i, c in enumerate(word):
-            where[c] = where.get(c, 0) | 1 << i
+        for i, letters in enumerate(form):
+            for c in letters:
+                where[c] = where.get(c, 0) | 1 << i
         start = [1]
         for _ in range(k):
             start.append(start[-1] | start[-1] << 1)
@@ -134,6 +170,24 @@ class Trie:
                     stack.append((child, now))
         return found
 
+    def candidates(self, form: str) -> list[tuple[str, float]]:
+        """(word, cost) of every word within the distance that can be the cheapest, whatever stands beside it.
+
+        Farther words are looked for only while one of them could still win.
+        """
+        best, found = math.inf, {}
+        for reading in units(form):
+            for k in range(3 if len(reading) > 5 else 2):
+                if EDIT * k - self.most - 2 * BESIDE > best:
+                    break
+                for i, d in self.within(reading, k):
+                    if d == k:
+                        cost = EDIT * d - math.log10(self.count[i])
+                        w = self.words[i]
+                        found[w] = min(cost, found.get(w, math.inf))
+                        best = min(best, cost)
+        return [(w, c) for w, c in found.items() if c <= best + 2 * BESIDE]
+
 
 def pair_bucket(a: str, b: str) -> int:
     return (zlib.crc32(a.encode()) * 31 + zlib.crc32(b.encode())) % PAIRS
@@ -175,101 +229,45 @@ def count_words(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     return df.select(F.col(text_col).alias("t")).where("t is not null and t <> ''").mapInArrow(run, "w string, n bigint, k int")
 
 
-class Lexicon:
-    """What goes to the executors: the frequent words and the hashed neighbours."""
-
-    def __init__(self, words: list[tuple[str, int]], pairs: np.ndarray):
-        self.words, self.pairs = words, pairs
-
-
-def lexicon(*sources: tuple[DataFrame, str]) -> Lexicon:
+def counts(*sources: tuple[DataFrame, str]) -> tuple[DataFrame, np.ndarray]:
+    """(w, n) of all words of the corpus, and the hashed counts of neighbours."""
     both = None
     for df, col in sources:
         part = count_words(df, col)
         both = part if both is None else both.unionByName(part)
-    sums = both.groupBy("w", "k").agg(F.sum("n").alias("n"))
-    words, pairs = [], np.zeros(PAIRS, dtype=np.int32)
-    # one job for both: at most VOCABULARY words and PAIRS numbers come to the driver
-    top = sums.where(F.col("w").isNotNull() & (F.col("n") >= MIN_COUNT)).orderBy(F.desc("n"), "w").limit(VOCABULARY)
-    for r in top.unionByName(sums.where("k is not null")).toLocalIterator():
-        if r.w is None:
-            pairs[r.k] = min(r.n, 2**31 - 1)
-        else:
-            words.append((r.w, r.n))
-    return Lexicon(words, pairs)
+    # read by both jobs below, so the texts are counted once
+    sums = common.checkpoint(both.groupBy("w", "k").agg(F.sum("n").alias("n")))
+    pairs = np.zeros(PAIRS, dtype=np.int32)
+    for r in sums.where("k is not null").select("k", "n").toLocalIterator():  # at most PAIRS numbers
+        pairs[r.k] = min(r.n, 2**31 - 1)
+    return sums.where("w is not null").select("w", "n"), pairs
 
 
 class Reader:
-    """Repairs one text after another."""
+    """Lays out one text after another."""
 
-    def __init__(self, lex: Lexicon, bits: np.ndarray | None = None):
-        self.trie = Trie(lex.words)
-        self.pairs = lex.pairs
+    def __init__(self, bits: np.ndarray | None = None):
         self.repairer = p6.Repairer(bits) if bits is not None else None
-        self.found: dict[str, list] = {}
-
-    def plain(self, word: str) -> str:
-        """The word with the usual letter for each confused sign."""
-        s = word
-        for wrong in ("JIJI", "III", "}K", "I_", "rn", "JI", "IO"):
-            if wrong in s:
-                s = s.replace(wrong, CONFUSED[wrong][0])
-        return "".join("" if c in NOISE_SIGNS else CONFUSED[c][0] if c in CONFUSED else c for c in s)
-
-    def candidates(self, word: str) -> list[tuple[str, float]]:
-        """(word, cost) of all vocabulary words near the misread word."""
-        known = self.found.get(word)
-        if known is None:
-            base = fold(self.plain(word))
-            # all words at the least distance that has any: a nearer word is never beaten by a farther one
-            near: list = []
-            for k in range(3 if len(base) > 5 else 2):
-                near = self.trie.within(base, k)
-                if near:
-                    break
-            known = [(self.trie.words[i], 4.0 * d - np.log10(self.trie.count[i])) for i, d in near]
-            if len(self.found) > 50_000:
-                self.found.clear()
-            self.found[word] = known
-        return known
-
-    def word(self, word: str, before: str) -> str:
-        """The word as it was printed, given the word before it."""
-        best, least = None, 1e9
-        for w, cost in self.candidates(word):
-            if before:
-                cost -= min(2.0, np.log1p(self.pairs[pair_bucket(before, w)]) / 3)
-            if cost < least:
-                best, least = w, cost
-        plain = self.plain(word)
-        if best is None or best == fold(plain):
-            return plain
-        letters = [c for c in word if c.isalpha()]
-        if len(letters) > 1 and all(c.isupper() or c == "ӏ" for c in letters):
-            return best.upper()
-        first = next((c for c in plain if c.isalpha()), "")
-        return best[:1].upper() + best[1:] if first.isupper() else best
-
-    def misread(self, token: str) -> tuple[int, int] | None:
+
+    @staticmethod
+    def misread(token: str) -> tuple[int, int] | None:
         """Where the misread word stands in a token, if there is one."""
         if not _OWN.search(token) or not _MISREAD.search(token):
             return None
-        for part in regex.finditer(rf"[{_CYR}\w^•|}}{{~*]+", token):
+        for part in _PART.finditer(token):
             s = part.group()
             if _OWN.search(s) and _MISREAD.search(s):
                 # figures glued to a word are figures: 1986шера, шера1986
-                if regex.fullmatch(rf"\d+[{_CYR}]+|[{_CYR}]+\d{{2,}}", s) and not regex.fullmatch(rf"[03468][{_CYR}]{{2,}}|[{_CYR}]+[03468]", s):
+                if _GLUED.fullmatch(s) and not _ONE_SIGN.fullmatch(s):
                     continue
                 return part.start(), part.end()
         return None
 
-    def read(self, text: str) -> tuple[str, int, int, int]:
-        """(repaired text, words joined, words corrected, lines of furniture)."""
-        if self.repairer is not None and p6.SUSPECT.search(text):
-            text = self.repairer.repair(text)[0]
+    def lines(self, text: str) -> tuple[list[str], int, int]:
+        """(lines without furniture and with broken words joined, words joined, lines of furniture)."""
         lines = text.split("\n")
         filled = [i for i, line in enumerate(lines) if line.strip()]
-        joined = corrected = furniture = 0
+        joined = furniture = 0
         kept: list[str] = []
         for i, line in enumerate(lines):
             # not the opening line, and not alone
@@ -284,68 +282,172 @@ class Reader:
                 k = len(flow) - 1
                 while k > 0 and not flow[k]:
                     k -= 1
-                if _HYPHEN.search(flow[k]) and line[0].islower() or flow[k][-1:] in "­¬" and flow[k][-1:]:
+                if _HYPHEN.search(flow[k]) and line[0].islower() or flow[k][-1:] in "\u00ad¬" and flow[k][-1:]:
                     head, _, rest = line.partition(" ")
                     flow[k:] = [flow[k][:-1] + head, rest] if rest else [flow[k][:-1] + head]
                     joined += 1
                     continue
             flow.append(line)
-        out, before = [], ""
-        for line in flow:
+        return flow, joined, furniture
+
+    def read(self, text: str) -> tuple[str, int, int, list[tuple[int, int, str, str, str]]]:
+        """(reflowed text, words joined, lines of furniture, suspects as (place, length, form, word before, word behind))."""
+        if self.repairer is not None and p6.SUSPECT.search(text):
+            text = self.repairer.repair(text)[0]
+        flow, joined, furniture = self.lines(text)
+        tokens: list[str] = []
+        breaks: list[str] = []
+        paragraph = opening = False
+        for i, line in enumerate(flow):
+            if not line:
+                paragraph = bool(tokens)
+                continue
             if _SPACED.search(line):
                 line = _SPACED.sub(lambda m: m.group().replace(" ", ""), line)
-            tokens = line.split()
-            for j, token in enumerate(tokens):
-                at = self.misread(token)
-                if at:
-                    corrected += 1
-                    tokens[j] = token = token[: at[0]] + self.word(token[at[0] : at[1]], before) + token[at[1] :]
-                before = fold(token.strip(".,!?:;«»\"()…—–-"))
-            out.append(" ".join(tokens))
-        paragraphs: list[list[str]] = [[]]
-        for i, line in enumerate(out):
-            if line:
-                opening = not paragraphs[-1] and _CAPITALS.match(line) and i + 1 < len(out)
-                paragraphs[-1].append(line)
-                if opening:
-                    paragraphs.append([])
-            elif paragraphs[-1]:
-                paragraphs.append([])
-        return "\n\n".join(" ".join(p) for p in paragraphs if p), joined, corrected, furniture
-
-
-def repair(df: DataFrame, id_col: str, text_col: str, lex, bits=None, only_noisy: bool = True) -> DataFrame:
-    """(id, text, joined, corrected, furniture); ``lex`` and ``bits`` are broadcasts."""
+            own = line.split()
+            new = paragraph or opening
+            opening = (not tokens or new) and _CAPITALS.match(line) and i + 1 < len(flow)
+            paragraph = False
+            breaks += ["\n\n" if new else " ", *[" "] * (len(own) - 1)]
+            tokens += own
+        suspects, at = [], 0
+        for j, token in enumerate(tokens):
+            at += len(breaks[j]) if j else 0
+            span = self.misread(token)
+            if span:
+                beside = [fold(tokens[i].strip(_EDGES)) if 0 <= i < len(tokens) else "" for i in (j - 1, j + 1)]
+                suspects.append((at + span[0], span[1] - span[0], token[span[0] : span[1]], *beside))
+            at += len(token)
+        whole = "".join(x for pair in zip(["", *breaks[1:]], tokens) for x in pair)
+        return whole, joined, furniture, suspects
+
+
+_PART = regex.compile(rf"[{_CYR}\w^•|}}{{~*]+")
+_GLUED = regex.compile(rf"\d+[{_CYR}]+|[{_CYR}]+\d{{2,}}")
+_ONE_SIGN = regex.compile(rf"[03468][{_CYR}]{{2,}}|[{_CYR}]+[03468]")
+_EDGES = ".,!?:;«»\"()…—–-"
+_SUSPECT = pa.struct([("at", pa.int32()), ("size", pa.int32()), ("form", pa.string()), ("before", pa.string()), ("behind", pa.string())])
+PAGES = "row_id bigint, page bigint, text string, joined int, furniture int, suspects array<struct<at:int, size:int, form:string, before:string, behind:string>>"
+
+
+def pages(df: DataFrame, id_col: str, text_col: str, bits=None, with_text: bool = True) -> DataFrame:
+    """The rows that may be noisy, laid out (columns PAGES); ``bits`` is a broadcast of the encoding model."""
 
     def run(batches):
-        reader = None
+        reader = Reader(bits.value if bits is not None else None)
         for b in batches:
             rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if t and NEED.search(t):
-                    reader = reader or Reader(lex.value, bits.value if bits is not None else None)
-                    made = reader.read(t)
-                    if any(made[1:]) or not only_noisy:
-                        rows.append((k, *made))
-                elif not only_noisy:
-                    rows.append((k, t, 0, 0, 0))
+                    text, joined, furniture, suspects = reader.read(t)
+                    if joined or furniture or suspects:
+                        rows.append((k, zlib.crc32(t.encode("utf-8", "replace")), text if with_text else None, joined, furniture, [dict(zip(("at", "size", "form", "before", "behind"), s)) for s in suspects]))
             if rows:
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int32()) for c in cols[2:])], names=[id_col, "text", "joined", "corrected", "furniture"])
+                c = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.list_(_SUSPECT))], names=["row_id", "page", "text", "joined", "furniture", "suspects"])
+
+    return df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("__t")).mapInArrow(run, PAGES)
 
-    return df.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("__t")).mapInArrow(run, f"{id_col} bigint, text string, joined int, corrected int, furniture int")
+
+def retrieve(forms: DataFrame, vocabulary: DataFrame, shard: int = SHARD, block: int = FORMS) -> DataFrame:
+    """(form, options): for each distinct form every vocabulary word that can win, with its cost.
+
+    A task holds one shard of the vocabulary and one block of forms, whatever their numbers.
+    """
+    words, n = vocabulary.count(), forms.count()
+    shards = max(1, -(-words // shard))
+    spread = forms.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n // block), min(2 * spread, -(-n // 500)))
+    left = vocabulary.select("w", "n", F.pmod(F.xxhash64("w"), F.lit(shards)).alias("s"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("r"))
+    right = forms.select("form", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("s"), F.pmod(F.xxhash64("form"), F.lit(parts)).alias("r"))
+
+    def run(own: pa.Table, wanted: pa.Table) -> pa.Table:
+        made = []
+        if own.num_rows and wanted.num_rows:
+            trie = Trie(own.column("w").to_pylist(), own.column("n").to_pylist())
+            made = [(f, trie.candidates(f)) for f in wanted.column("form").to_pylist()]
+        made = [(f, [{"w": w, "cost": c} for w, c in found]) for f, found in made if found]
+        return pa.table([pa.array([f for f, _ in made], pa.string()), pa.array([x for _, x in made], pa.list_(pa.struct([("w", pa.string()), ("cost", pa.float64())])))], names=["form", "options"])
+
+    met = left.groupBy("s", "r").cogroup(right.groupBy("s", "r")).applyInArrow(run, "form string, options array<struct<w:string, cost:double>>")
+    return met.groupBy("form").agg(F.flatten(F.collect_list("options")).alias("options"))
+
+
+def restored(form: str, word: str) -> str:
+    """The vocabulary word with the capitals of the form."""
+    letters = [c for c in form if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() or c == "ӏ" for c in letters):
+        return word.upper()
+    first = CONFUSED.get(form[0], form[0])
+    return word[:1].upper() + word[1:] if form[0].isupper() or first[0].isupper() else word
+
+
+def choose(form: str, seen: int, options: list[dict], before: str, behind: str, pairs: np.ndarray) -> str | None:
+    """The word that was printed, or None if the form is rather meant as it stands."""
+
+    def beside(w: str) -> float:
+        return sum(min(BESIDE, math.log1p(pairs[pair_bucket(*p)]) / 6) for p in ((before, w), (w, behind)) if all(p))
+
+    strange = sum(c in NOISE_SIGNS or c in CONFUSED for c in form)
+    best = min(options, key=lambda o: (o["cost"] - beside(o["w"]), o["w"]))
+    if best["cost"] - beside(best["w"]) + MISREAD * strange >= -math.log10(seen):
+        return None
+    return restored(form, best["w"])
+
+
+def corrections(laid: DataFrame, vocabulary: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """(table_name, row_id, page, at, size, word) of every suspect that a vocabulary word beats."""
+    shared = laid.sparkSession.sparkContext.broadcast(pairs)
+    found = laid.select("table_name", "row_id", "page", F.explode("suspects").alias("x")).select("table_name", "row_id", "page", "x.*")
+    forms = common.checkpoint(found.groupBy("form").agg(F.count("*").alias("seen")))
+    options = retrieve(forms, vocabulary).join(forms, "form")
+    names = ["table_name", "row_id", "page", "at", "size"]
+
+    def run(batches):
+        for b in batches:
+            cols = [b.column(i).to_pylist() for i in range(5, 10)]
+            made = [choose(*x, shared.value) for x in zip(*cols)]
+            take = pa.array([i for i, w in enumerate(made) if w is not None], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(5)), pa.array([w for w in made if w is not None], pa.string())], names=[*names, "word"])
+
+    return found.join(options, "form").select(*names, "form", "seen", "options", "before", "behind").mapInArrow(run, "table_name string, row_id bigint, page bigint, at int, size int, word string")
+
+
+def _laid(spark, sf_dir: str, with_text: bool) -> tuple[DataFrame, DataFrame]:
+    """The laid-out pages of both tables, and the corrections of their words."""
+    mono, par = common.read(spark, sf_dir, "mono"), common.read(spark, sf_dir, "parallel_ing_rus")
+    vocabulary, pairs = counts((mono, "text"), (par, "ing"))
+    bits = spark.sparkContext.broadcast(p6.model(p6.bigram_counts(mono, "text")))
+    a = pages(mono, "mono_id", "text", bits, with_text).withColumn("table_name", F.lit("mono"))
+    b = pages(par, "pair_id", "ing", None, with_text).withColumn("table_name", F.lit("parallel_ing_rus"))
+    laid = common.checkpoint(a.unionByName(b))
+    return laid, corrections(laid, vocabulary, pairs)
 
 
 def p1_repaired(spark, sf_dir: str) -> DataFrame:
     """(table_name, row_id, text, joined, corrected, furniture) of every record with scan noise."""
-    mono, par = common.read(spark, sf_dir, "mono"), common.read(spark, sf_dir, "parallel_ing_rus")
-    sc = spark.sparkContext
-    lex = sc.broadcast(lexicon((mono, "text"), (par, "ing")))
-    bits = sc.broadcast(p6.model(p6.bigram_counts(mono, "text")))
-    a = repair(mono, "mono_id", "text", lex, bits).withColumnRenamed("mono_id", "row_id").withColumn("table_name", F.lit("mono"))
-    b = repair(par, "pair_id", "ing", lex).withColumnRenamed("pair_id", "row_id").withColumn("table_name", F.lit("parallel_ing_rus"))
-    return a.unionByName(b).select("table_name", "row_id", "text", "joined", "corrected", "furniture")
+    laid, fixes = _laid(spark, sf_dir, True)
+    keys = ["table_name", "row_id", "page"]
+    own = fixes.groupBy(*keys).agg(F.collect_list(F.struct("at", "size", "word")).alias("fixes"))
+    rows = laid.drop("suspects").dropDuplicates(keys).join(own, keys, "left").where("joined > 0 or furniture > 0 or fixes is not null")
+
+    def run(batches):
+        for b in batches:
+            texts, n = [], []
+            for text, fixes in zip(b.column(2).to_pylist(), b.column(5).to_pylist()):
+                made = {(f["at"], f["size"]): f["word"] for f in fixes or ()}
+                parts, at = [], 0
+                for (start, size), word in sorted(made.items()):
+                    parts += [text[at:start], word]
+                    at = start + size
+                texts.append("".join(parts) + text[at:])
+                n.append(len(made))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), b.column(3), pa.array(n, pa.int32()), b.column(4)], names=["table_name", "row_id", "text", "joined", "corrected", "furniture"])
+
+    return rows.select("table_name", "row_id", "text", "joined", "furniture", "fixes").mapInArrow(run, "table_name string, row_id bigint, text string, joined int, corrected int, furniture int")
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
-    return p1_repaired(spark, sf_dir).select("table_name", "row_id")
+    """(table_name, row_id) of the records with page furniture, broken words, or words that a vocabulary word beats."""
+    laid, fixes = _laid(spark, sf_dir, False)
+    return laid.where("joined > 0 or furniture > 0").select("table_name", "row_id").unionByName(fixes.select("table_name", "row_id")).distinct()

@@ -8,15 +8,18 @@ and an elastic-net penalty, on a bounded sample of labelled rows: at most
 wrong, so rows that a first model contradicts are left out of the next
 training, twice; a held-out part then sets the temperature of the probabilities.
 
-Every sentence of every record is classified; neighbouring sentences of one language
-make a segment.  Garbled text is restored and scan noise removed before.  A vector is
-scaled by the root of its length, so the scores of a word are added up from a cache.
+A vector is scaled by the root of its length, so the scores of a word are added up from a
+cache.  A text whose words agree, without two of another language close together, is one
+segment; in any other every sentence is classified and neighbouring sentences of one
+language make a segment.  Garbled stretches are restored before and misread letters
+replaced word by word; positions are those of the stored text.
 
 Defined results: null and blank texts have no language; text without letters neither.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import zlib
 
@@ -40,6 +43,8 @@ SCRIPTS = {lang: regex.compile(p) for lang, p in {"ing": r"\p{Cyrillic}", "rus":
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}\p{N}]*")
 #: A shorter sentence (names, a heading, a quoted phrase) brings no language of its own into a text.
 MIN_WORDS, MIN_HAN = 3, 4
+#: Most words of another likeliest language in a text that is taken as a whole.
+FOREIGN = 0.15
 #: Nats that a change of language costs between sentences: an unsure sentence follows its neighbours.
 SWITCH = 1.5
 
@@ -52,53 +57,95 @@ def word_features(word: str) -> np.ndarray:
     return np.asarray([zlib.crc32(s[i : i + n].encode()) % DIM for n in ORDERS for i in range(len(s) - n + 1)], dtype=np.int32)
 
 
+_LOOKALIKES = {ord(k): v[0] for k, v in p1.CONFUSED.items() if len(k) == 1}
+_MIXED = regex.compile(r"(?=.*\p{Cyrillic}).*[a-zA-Z0-9]")
+#: A word broken at a line end.
+_BROKEN = regex.compile(r"(?<=\p{L})[-\u00ad¬‐‑]\s*\n\s*(?=\p{Ll})")
+
+
+def folded(word: str) -> str:
+    """Lower case, palochkas in one spelling, Cyrillic letters where others are mixed in."""
+    if not _MIXED.match(word):
+        return word.lower()
+    w = p1.fold("".join("ӏ" if c in "1Ii" else c for c in word))
+    return w.translate(_LOOKALIKES)
+
+
 def words_of(text: str) -> list[str]:
-    """Words, lower-cased, palochkas in one spelling."""
-    return [p1.fold(w) if "Ѐ" <= w[0] <= "ӿ" else w.lower() for w in _WORD.findall(text)]
+    """Words as they stand, those broken at a line end joined."""
+    return _WORD.findall(_BROKEN.sub("", text) if "\n" in text else text)
 
 
 class Model:
-    """Weights (languages × columns, already times idf) and the temperature."""
+    """Weights (languages × columns, already times idf), the temperature, and the mean number of n-grams of a sentence."""
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float):
-        self.weights, self.bias, self.temperature = weights, bias, temperature
-        self.kept: dict[str, tuple[np.ndarray, int]] = {}
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float, size: float = 100.0):
+        self.weights, self.bias, self.temperature, self.size = weights, bias, temperature, size
+        self.kept: dict[str, tuple[np.ndarray, int, int]] = {}
 
     def __getstate__(self):
-        return self.weights, self.bias, self.temperature
+        return self.weights, self.bias, self.temperature, self.size
 
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def probabilities(self, words: list[str]) -> np.ndarray:
-        total, n = np.zeros(len(LANGUAGES)), 0
+    def scored(self, words: list[str]) -> list[tuple[np.ndarray, int, int]]:
+        """(sum of weights, number of n-grams, likeliest language) of each word."""
+        out = []
         for w in words:
             known = self.kept.get(w)
             if known is None:
-                f = word_features(w)
-                known = (self.weights[:, f].sum(axis=1), len(f))
+                f = word_features(folded(w))
+                total = self.weights[:, f].sum(axis=1)
                 if len(self.kept) > 100_000:
                     self.kept.clear()
-                self.kept[w] = known
-            total += known[0]
-            n += known[1]
-        z = (total / math.sqrt(n or 1) + self.bias) / self.temperature
+                known = self.kept[w] = (total, len(f), int(total.argmax()))
+            out.append(known)
+        return out
+
+    def softmax(self, total: np.ndarray, n: float, size: float) -> np.ndarray:
+        z = (total / (n or 1) * math.sqrt(size) + self.bias) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
+    def probabilities(self, words: list[str]) -> np.ndarray:
+        known = self.scored(words)
+        n = sum([k[1] for k in known])
+        return self.softmax(np.sum([k[0] for k in known], axis=0) if known else np.zeros(len(LANGUAGES)), n, n or 1)
+
+    def confidence(self, known: list[tuple[np.ndarray, int, int]], language: int) -> float:
+        """Calibrated probability of a stretch's language, as of a sentence with its mix of words."""
+        n = sum([k[1] for k in known])
+        return float(self.softmax(np.sum([k[0] for k in known], axis=0), n, min(n, self.size) or 1)[language])
+
+
+def features(samples: list[tuple[list[str], int, int]]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(columns, counts, size) of each sentence; each word is hashed once."""
+    kept: dict[str, np.ndarray] = {}
+    out = []
+    for words, _, _ in samples:
+        parts = []
+        for w in words:
+            f = kept.get(w)
+            if f is None:
+                f = kept[w] = word_features(folded(w))
+            parts.append(f)
+        whole = np.sort(np.concatenate(parts))
+        first = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1])))
+        out.append((whole[first], np.diff(np.append(first, len(whole))), float(len(whole))))
+    return out
 
-def train(samples: list[tuple[list[str], int]], rounds: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """FTRL-proximal with elastic net; (weights × idf, bias)."""
+
+def train(samples: list[tuple[tuple, int]], rounds: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """FTRL-proximal with elastic net over (features, language); (weights × idf, bias)."""
     df = np.zeros(DIM)
-    rows = []
-    for words, y in samples:
-        f = [word_features(w) for w in words]
-        idx, tf = np.unique(np.concatenate(f), return_counts=True)
+    rows = [(idx, tf, y, size) for (idx, tf, size), y in samples]
+    for idx, _, _, _ in rows:
         df[idx] += 1
-        rows.append((idx, tf, y, tf.sum()))
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
     c = len(LANGUAGES)
-    z, n = np.zeros((c, DIM)), np.zeros((c, DIM))
+    # a column's languages lie together
+    z, n = np.zeros((DIM, c)), np.zeros((DIM, c))
     zb, nb = np.zeros(c), np.zeros(c)
     rng = np.random.default_rng(seed)
 
@@ -109,18 +156,20 @@ def train(samples: list[tuple[list[str], int]], rounds: int = EPOCHS, seed: int
         for k in rng.permutation(len(rows)):
             idx, tf, y, size = rows[k]
             x = tf * idf[idx] / math.sqrt(size)
-            w, b = solve(z[:, idx], n[:, idx], L1), solve(zb, nb, 0.0)
-            s = w @ x + b
+            zi, ni = z[idx], n[idx]
+            root = np.sqrt(ni)
+            w, b = np.where(np.abs(zi) <= L1, 0.0, (np.sign(zi) * L1 - zi) / ((BETA + root) / ALPHA + L2)), solve(zb, nb, 0.0)
+            s = x @ w + b
             p = np.exp(s - s.max())
             p /= p.sum()
             p[y] -= 1
-            g = p[:, None] * x
-            g2 = g * g
-            z[:, idx] += g - (np.sqrt(n[:, idx] + g2) - np.sqrt(n[:, idx])) / ALPHA * w
-            n[:, idx] += g2
+            g = x[:, None] * p
+            ni += g * g
+            z[idx] = zi + g - (np.sqrt(ni) - root) / ALPHA * w
+            n[idx] = ni
             zb += p - (np.sqrt(nb + p * p) - np.sqrt(nb)) / ALPHA * b
             nb += p * p
-    return (solve(z, n, L1) * idf).astype(np.float32), solve(zb, nb, 0.0)
+    return (solve(z, n, L1).T * idf).astype(np.float32), solve(zb, nb, 0.0)
 
 
 def temperature(model: Model, held: list[tuple[list[str], int]]) -> float:
@@ -154,29 +203,43 @@ def fit(samples: list[tuple[list[str], int, int]]) -> Model:
     samples = [x for x in samples if x[0]]
     if not samples:
         raise ValueError("no labelled text to learn from")
+    made = features(samples)
     half = [zlib.crc32(str(row).encode()) & 1 for _, _, row in samples]
-    kept, agreed = samples, samples
+    every = range(len(samples))
+    kept = agreed = every
     for _ in range(2):
-        models = [Model(*train([(w, y) for (w, y, row) in kept if zlib.crc32(str(row).encode()) & 1 == side] or [x[:2] for x in kept], 1), 1.0) for side in (0, 1)]
-        scores = [np.log(np.maximum(models[1 - h].probabilities(w), 1e-9)) for (w, _, _), h in zip(samples, half)]
+        scores: list = [None] * len(samples)
+        for side in (0, 1):
+            own = [i for i in kept if half[i] == side] or kept
+            weights, bias = train([(made[i], samples[i][1]) for i in own], 1)
+            for i in every:
+                if half[i] != side:
+                    idx, tf, size = made[i]
+                    scores[i] = np.log(np.maximum(softmax(weights[:, idx] @ tf / math.sqrt(size) + bias), 1e-9))
         rows: dict = {}
         for (_, _, row), score in zip(samples, scores):
             rows[row] = rows.get(row, 0.0) + score
-        agreed = [x for x in samples if rows[x[2]].argmax() == x[1]] or samples
-        kept = [x for x, score in zip(samples, scores) if rows[x[2]].argmax() == x[1] and score.argmax() == x[1]] or samples
+        agreed = [i for i in every if rows[samples[i][2]].argmax() == samples[i][1]] or every
+        kept = [i for i in agreed if scores[i].argmax() == samples[i][1]] or every
 
-    def held_out(row) -> bool:
-        return zlib.crc32(str(row).encode()) % 7 == 3
+    def held_out(i) -> bool:
+        return zlib.crc32(str(samples[i][2]).encode()) % 7 == 3
 
-    train_on = [(w, y) for w, y, row in kept if not held_out(row)]
+    train_on = [i for i in kept if not held_out(i)]
     # hard sentences stay in the part that sets the temperature
-    held = [(w, y) for w, y, row in agreed if held_out(row)]
-    model = Model(*train(train_on or held, EPOCHS), 1.0)
+    held = [samples[i][:2] for i in agreed if held_out(i)]
+    weights, bias = train([(made[i], samples[i][1]) for i in train_on or kept], EPOCHS)
+    model = Model(weights, bias, 1.0, float(np.mean([size for _, _, size in made])))
     model.temperature = temperature(model, held)
     model.kept.clear()
     return model
 
 
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
 def sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[list[str], int, int]]:
     """Sentences of at most PER_LANGUAGE rows of each language, chosen by the hash of the id."""
     label = F.lower(F.trim(F.col(lang_col)))
@@ -202,15 +265,14 @@ def sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[t
 
 
 class Labeller:
-    """Cleans a text, splits it and names the language of each sentence."""
+    """Restores a text, splits it where it may be mixed, and names the language of each stretch."""
 
     def __init__(self, model: Model, bits: np.ndarray | None):
         self.model = model
-        self.reader = p1.Reader(p1.Lexicon([], np.zeros(1, dtype=np.int32)), bits)
-        self.reader.candidates = lambda word: []
+        self.repairer = p6.Repairer(bits) if bits is not None else None
 
-    def sentences(self, text: str) -> list[tuple[int, int, int, np.ndarray]]:
-        """(start, end, words, probabilities), positions in the cleaned text, from 1."""
+    def sentences(self, text: str) -> list[tuple[int, int, int, list]]:
+        """(start, end, words, their scores), positions from 1."""
         out, at = [], 0
         for e in p2.boundaries(text):
             words = words_of(text[at:e])
@@ -218,17 +280,27 @@ class Labeller:
                 at += 1
             if words:
                 n = sum(len(w) for w in words if "一" <= w[0] <= "鿿")
-                out.append((at + 1, e, max(len(words), MIN_WORDS if n >= MIN_HAN else 0), self.model.probabilities(words)))
+                out.append((at + 1, e, max(len(words), MIN_WORDS if n >= MIN_HAN else 0), self.model.scored(words)))
             at = e
         return out
 
-    def clean(self, text: str) -> str:
-        if p1.NEED.search(text) or p6.SUSPECT.search(text):
-            if self.reader.repairer is not None and p6.SUSPECT.search(text):
-                text = self.reader.repairer.repair(text)[0]
-            if p1.NEED.search(text):
-                text = self.reader.read(text)[0]
-        return text
+    def one_language(self, text: str) -> tuple[int, list] | None:
+        """(language, scores) of a text whose words agree; no two of another language stand within three longer words."""
+        words = words_of(text)
+        known = self.model.scored(words)
+        if len(known) < MIN_WORDS:
+            return None
+        # words of one or two letters are alike in two languages
+        best = [k[2] for w, k in zip(words, known) if len(w) > 2]
+        if not best:
+            return None
+        top = max(set(best), key=best.count)
+        other = [i for i, x in enumerate(best) if x != top]
+        long = [w for w in words if len(w) > 2] if other else words
+        # a spaceless sentence is one word
+        if len(other) > FOREIGN * len(best) or any(b - a <= 2 for a, b in zip(other, other[1:])) or any(len(long[i]) >= MIN_HAN and "一" <= long[i][0] <= "鿿" for i in other):
+            return None
+        return top, known
 
     @staticmethod
     def path(probabilities: list[np.ndarray]) -> list[int]:
@@ -247,12 +319,29 @@ class Labeller:
         return out[::-1]
 
     def segments(self, text: str | None) -> list[tuple[int, int, str, float]]:
-        """(start, end, language, confidence) of the stretches of one language."""
+        """(start, end, language, confidence) of the stretches of one language, positions in the stored text from 1."""
         if not text or text.isspace():
             return []
-        found = self.sentences(self.clean(text))
+        stored = text
+        if self.repairer is not None and p6.SUSPECT.search(text):
+            text = self.repairer.repair(text)[0]
+        out = self.stretches(text)
+        if text is not stored:
+            place = places(stored, text)
+            out = [(place(a - 1) + 1, place(b - 1, True) + 1, lang, p) for a, b, lang, p in out]
+        return out
+
+    def stretches(self, text: str) -> list[tuple[int, int, str, float]]:
+        one = self.one_language(text)
+        if one:
+            return [(len(text) - len(text.lstrip()) + 1, len(text.rstrip()), LANGUAGES[one[0]], self.model.confidence(one[1], one[0]))]
+        found = self.sentences(text)
         whole = [s for s in found if s[2] >= MIN_WORDS] or found
-        langs = iter(self.path([s[3] for s in whole]))
+        chances = []
+        for s in whole:
+            n = sum([k[1] for k in s[3]])
+            chances.append(self.model.softmax(np.sum([k[0] for k in s[3]], axis=0), n, n or 1))
+        langs = iter(self.path(chances))
         out: list[list] = []
         for s in found:
             if s[2] < MIN_WORDS and whole is not found:
@@ -261,18 +350,35 @@ class Labeller:
                     out[-1][1] = s[1]
                 continue
             lang = next(langs)
-            size = s[1] - s[0] + 1
             if out and out[-1][2] == lang:
                 out[-1][1] = s[1]
-                out[-1][3] += float(s[3][lang]) * size
-                out[-1][4] += size
+                out[-1][3] += s[3]
             else:
-                out.append([s[0], s[1], lang, float(s[3][lang]) * size, size])
-        return [(a, b, LANGUAGES[k], p / n) for a, b, k, p, n in out]
+                out.append([s[0], s[1], lang, list(s[3])])
+        return [(a, b, LANGUAGES[k], self.model.confidence(known, k)) for a, b, k, known in out]
+
+
+def places(stored: str, restored: str):
+    """A function from places of the restored text to places of the stored one; restoring keeps the blanks."""
+    old, new = (regex.split(r"([ \n\r\t]+)", t) for t in (stored, restored))
+    starts_old, starts_new = [0], [0]
+    for a, b in zip(old, new):
+        starts_old.append(starts_old[-1] + len(a))
+        starts_new.append(starts_new[-1] + len(b))
+
+    def place(i: int, last: bool = False) -> int:
+        k = bisect.bisect_right(starts_new, i) - 1
+        if k >= len(old):
+            return len(stored) - 1
+        if old[k] == new[k]:
+            return starts_old[k] + i - starts_new[k]
+        return starts_old[k] + (len(old[k]) - 1 if last else 0)
+
+    return place
 
 
 def label(rows: DataFrame, id_col: str, text_col: str, model: Model, bits=None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, keep..., start_pos, end_pos, found, confidence): one row per segment, positions in the cleaned text."""
+    """(id, keep..., start_pos, end_pos, found, confidence): one row per segment, positions in the stored text."""
     sc = rows.sparkSession.sparkContext
     shared = sc.broadcast((model, bits))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}

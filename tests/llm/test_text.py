@@ -1,5 +1,6 @@
 """Text operators: edge cases (null, empty, long, ties, repeated rows, other columns), round trips, brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -30,15 +31,23 @@ def bits_of(*texts):
 # ---- problem 1
 
 
-def lexicon():
-    words = "вечӏера кхолем мартад хьарга шоргар кхиерта наьйхерг дуолад берзалой".split()
-    return P1.Lexicon([(w, 50 - i) for i, w in enumerate(words)], np.zeros(P1.PAIRS, dtype=np.int32))
+SCANNED = "вечӏера кхолем мартад хьарга шоргар кхиерта наьйхерг дуолад берзалой".split()
+
+
+def vocabulary(spark):
+    return spark.createDataFrame([(w, 50 - i) for i, w in enumerate(SCANNED)], "w string, n bigint")
+
+
+def corrected(spark, rows, words=None):
+    df = spark.createDataFrame(rows, "id bigint, t string, text string, form string, seen int")
+    laid = P1.pages(df, "id", "t").withColumn("table_name", F.lit("x"))
+    return P1.corrections(laid, words if words is not None else vocabulary(spark), np.zeros(P1.PAIRS, dtype=np.int32))
 
 
 def test_automaton_brute_force():
     rng = random.Random(2)
     words = sorted({"".join(rng.choice("абвг") for _ in range(rng.randint(1, 7))) for _ in range(200)})
-    trie = P1.Trie([(w, 1) for w in words])
+    trie = P1.Trie(words, [1] * len(words))
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -50,30 +59,69 @@ def test_automaton_brute_force():
 
     for q in ["абв", "а", "ггггггг", "абвгабв"]:
         for k in (0, 1, 2):
-            assert {(words[i], d) for i, d in trie.within(q, k)} == {(w, distance(q, w)) for w in words if distance(q, w) <= k}
+            assert {(words[i], d) for i, d in trie.within(list(q), k)} == {(w, distance(q, w)) for w in words if distance(q, w) <= k}
 
 
-def test_scan_repair():
-    r = P1.Reader(lexicon())
+def test_candidates_can_win():
+    # every word that the neighbours could make the cheapest comes out, however far
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("абвгд") for _ in range(rng.randint(3, 8))) for _ in range(300)})
+    counts = [rng.choice([1, 3, 40, 10**6]) for _ in words]
+    trie = P1.Trie(words, counts)
+    for q in words[:40]:
+        form = q[:1] + "b" + q[2:]
+        readings = P1.units(form)
+        costs = {}
+        for r in readings:
+            for i, d in trie.within(r, 2 if len(r) > 5 else 1):
+                costs[words[i]] = min(costs.get(words[i], 1e9), P1.EDIT * d - math.log10(counts[i]))
+        least = min(costs.values())
+        assert dict(trie.candidates(form)) == {w: c for w, c in costs.items() if c <= least + 2 * P1.BESIDE}
+
+
+def test_scan_repair(spark):
     text = "Вечӏера кхо­\nлем мартад.\n— 12 —\nХьаpга шоргар кхиеpта\nДАКЪА II. ХЬАРГА КХОЛЕМ 12\nнаьйхерг дуолад."
-    fixed, joined, corrected, furniture = r.read(text)
-    assert (joined, corrected, furniture) == (1, 2, 2)
-    assert fixed == "Вечӏера кхолем мартад. Хьарга шоргар кхиерта наьйхерг дуолад."
+    whole, joined, furniture, suspects = P1.Reader().read(text)
+    assert (joined, furniture, [s[2] for s in suspects]) == (1, 2, ["Хьаpга", "кхиеpта"])
+    assert whole == "Вечӏера кхолем мартад. Хьаpга шоргар кхиеpта наьйхерг дуолад."
+    assert all(whole[at : at + size] == form for at, size, form, _, _ in suspects)
+    rows = [(1, text, "x", "y", 2), (1, text, "x", "y", 2)]
+    assert {(r.row_id, r.word) for r in corrected(spark, rows).collect()} == {(1, "Хьарга"), (1, "кхиерта")}
+    # the words come from the vocabulary: with an empty one nothing is noise
+    assert corrected(spark, rows, vocabulary(spark).where("n < 0")).count() == 0
 
 
 @pytest.mark.parametrize("text", ["", "Вечӏера\nкхолем мартад.", "ХЬАРГА КХОЛЕМ\nВечӏера мартад.\nШоргар.", "х1ара т1а д1адахар", "Шоргар, XIX дуолад.", "В 1817 г. (см. стр. 12)", "α/β ≈ ½", "3-гӏа мартад"])
 def test_no_scan_noise(text):
-    assert P1.Reader(lexicon()).read(text)[1:] == (0, 0, 0)
+    assert P1.Reader().read(text)[1:] == (0, 0, [])
+
+
+def test_forms_that_are_meant(spark):
+    # a form that the corpus uses as it stands is beaten only by a word that is far commoner
+    rows = [(k, "Хьарга А4 мартад, шopгар.", None, None, None) for k in range(30)]
+    words = spark.createDataFrame([("ач", 20), ("шоргар", 900)], "w string, n bigint")
+    assert {r.word for r in corrected(spark, rows, words).collect()} == {"шоргар"}
+
+
+def test_grid(spark):
+    # the same candidates however the vocabulary and the forms are cut
+    rng = random.Random(6)
+    words = spark.createDataFrame([("".join(rng.choice("абвгд") for _ in range(6)), 3) for _ in range(200)], "w string, n bigint").dropDuplicates(["w"])
+    forms = spark.createDataFrame([(f"{a}b{c}гд{a}",) for a in "абвгд" for c in "абвгд"], "form string")
+    one = {r.form: {o.w: o.cost for o in r.options} for r in P1.retrieve(forms, words).collect()}
+    cut = {r.form: {o.w: o.cost for o in r.options} for r in P1.retrieve(forms, words, 30, 4).collect()}
+    least = {f: min(o.values()) for f, o in one.items()}
+    assert {f: {w: c for w, c in o.items() if c <= least[f] + 2 * P1.BESIDE} for f, o in cut.items()} == one and len(one) > 10
 
 
 def test_scan_frame(spark):
-    df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "кхоле-\nмаш мартад", "x"), (3, "кхоле-\nмаш мартад", "x")], "id bigint, t string, text string")
-    lex = spark.sparkContext.broadcast(lexicon())
-    rows = P1.repair(df, "id", "t", lex).collect()
-    assert [(r.id, r.joined) for r in rows] == [(3, 1), (3, 1)]
-    assert P1.repair(df.where("id < 0"), "id", "t", lex).count() == 0
-    counted = P1.lexicon((df, "t"))
-    assert counted.words == [] or all(n >= P1.MIN_COUNT for _, n in counted.words)
+    rows = [(1, None, "x", "f", 1), (2, "", "x", "f", 1), (3, "кхоле-\nмаш мартад", "x", "f", 1), (3, "кхоле-\nмаш мартад", "x", "f", 1)]
+    df = spark.createDataFrame(rows, "id bigint, t string, text string, form string, joined int")
+    assert [(r.row_id, r.joined) for r in P1.pages(df, "id", "t").collect()] == [(3, 1), (3, 1)]
+    assert P1.pages(df.where("id < 0"), "id", "t").count() == 0
+    words, pairs = P1.counts((df, "t"))
+    assert {r.w: r.n for r in words.collect()} == {"мартад": 2, "кхоле": 2, "маш": 2} and pairs.sum() == 4
+    assert P1.counts((df.where("id < 0"), "t"))[0].count() == 0
 
 
 # ---- problem 2
@@ -143,10 +191,34 @@ def test_language_model():
     found = lab.segments("Хьарга шоргар вечӏера кхолем. Мартад наьйхерг шоргар. The old miller built a tower. A quiet tower built the miller.")
     assert [s[2] for s in found] == ["ing", "eng"] and all(0 < s[3] <= 1 for s in found)
     assert lab.segments(None) == [] and lab.segments("  ") == [] and lab.segments("123 ...") == []
+    # places are those of the stored text, also where it was restored
+    good = "Хьарга шоргар вечӏера кхолем. "
+    stored = good + RUS.strip().encode().decode("cp1251", "replace").replace("\ufffd", "?") + " " + good.strip()
+    lab = P5.Labeller(model, bits_of(PROSE * 20))
+    for a, b, _, _ in lab.segments(stored):
+        assert (a == 1 or stored[a - 2].isspace()) and (b == len(stored) or stored[b].isspace())
+    place = P5.places("абв РіРґ кл", "абв гд кл")
+    assert [place(0), place(3), place(4), place(5, True), place(7), place(8, True)] == [0, 3, 4, 7, 9, 10]
     with pytest.raises(ValueError):
         P5.fit([])
 
 
+def test_one_language_as_by_sentences():
+    rng = random.Random(8)
+    vocab = ["хьарга шоргар вечӏера кхолем мартад наьйхерг".split(), "который построил мельницу весёлый сосед лодку".split(), "the old miller built quiet tower".split()]
+    rows = [([rng.choice(vocab[k % 3]) for _ in range(6)], k % 3, k) for k in range(240)]
+    lab = P5.Labeller(P5.fit(rows), None)
+    for k in range(60):
+        own = [k % 3] * 5
+        if k % 4 == 0:
+            own[rng.randrange(5)] = (k + 1) % 3  # one sentence of another language
+        text = " ".join(" ".join(rng.choice(vocab[y]) for _ in range(rng.randint(4, 7))).capitalize() + "." for y in own)
+        found = lab.segments(text)
+        lab.one_language, kept = (lambda t: None), lab.one_language
+        assert [s[2] for s in lab.segments(text)] == [s[2] for s in found]
+        lab.one_language = kept
+
+
 # ---- problem 6
 
 
