@@ -60,7 +60,7 @@ def word_features(word: str) -> np.ndarray:
 _LOOKALIKES = {ord(k): v[0] for k, v in p1.CONFUSED.items() if len(k) == 1}
 _MIXED = regex.compile(r"(?=.*\p{Cyrillic}).*[a-zA-Z0-9]")
 #: A word broken at a line end.
-_BROKEN = regex.compile(r"(?<=\p{L})[-\u00ad¬‐‑]\s*\n\s*(?=\p{Ll})")
+_BROKEN = regex.compile(r"[-\u00ad¬‐‑]\s*\n\s*(?=\p{Ll})")
 
 
 def folded(word: str) -> str:
@@ -81,7 +81,13 @@ class Model:
 
     def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float, size: float = 100.0):
         self.weights, self.bias, self.temperature, self.size = weights, bias, temperature, size
-        self.kept: dict[str, tuple[np.ndarray, int, int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.kept: dict[str, int] = {}
+        self.sums = np.zeros((1024, len(LANGUAGES)))
+        self.sizes: list[int] = []
+        self.best: list[int] = []
 
     def __getstate__(self):
         return self.weights, self.bias, self.temperature, self.size
@@ -89,34 +95,34 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def scored(self, words: list[str]) -> list[tuple[np.ndarray, int, int]]:
-        """(sum of weights, number of n-grams, likeliest language) of each word."""
+    def scored(self, words: list[str]) -> list[int]:
+        """The numbers of the words in ``sums`` (of weights), ``sizes`` (n-grams) and ``best`` (likeliest language)."""
+        kept = self.kept
         out = []
         for w in words:
-            known = self.kept.get(w)
-            if known is None:
+            i = kept.get(w)
+            if i is None:
                 f = word_features(folded(w))
-                total = self.weights[:, f].sum(axis=1)
-                if len(self.kept) > 100_000:
-                    self.kept.clear()
-                known = self.kept[w] = (total, len(f), int(total.argmax()))
-            out.append(known)
+                i = kept[w] = len(self.sizes)
+                if i == len(self.sums):
+                    self.sums = np.concatenate((self.sums, np.zeros_like(self.sums)))
+                self.sums[i] = self.weights[:, f].sum(axis=1)
+                self.sizes.append(len(f))
+                self.best.append(int(self.sums[i].argmax()))
+            out.append(i)
         return out
 
-    def softmax(self, total: np.ndarray, n: float, size: float) -> np.ndarray:
-        z = (total / (n or 1) * math.sqrt(size) + self.bias) / self.temperature
-        e = np.exp(z - z.max())
-        return e / e.sum()
+    def softmax(self, known: list[int], most: float = math.inf) -> np.ndarray:
+        """Calibrated probabilities of scored words, as of a sentence of at most ``most`` n-grams."""
+        n = sum([self.sizes[i] for i in known]) or 1
+        return softmax((self.sums[known].sum(axis=0) / n * math.sqrt(min(n, most)) + self.bias) / self.temperature)
 
     def probabilities(self, words: list[str]) -> np.ndarray:
-        known = self.scored(words)
-        n = sum([k[1] for k in known])
-        return self.softmax(np.sum([k[0] for k in known], axis=0) if known else np.zeros(len(LANGUAGES)), n, n or 1)
+        return self.softmax(self.scored(words))
 
-    def confidence(self, known: list[tuple[np.ndarray, int, int]], language: int) -> float:
+    def confidence(self, known: list[int], language: int) -> float:
         """Calibrated probability of a stretch's language, as of a sentence with its mix of words."""
-        n = sum([k[1] for k in known])
-        return float(self.softmax(np.sum([k[0] for k in known], axis=0), n, min(n, self.size) or 1)[language])
+        return float(self.softmax(known, self.size)[language])
 
 
 def features(samples: list[tuple[list[str], int, int]]) -> list[tuple[np.ndarray, np.ndarray, float]]:
@@ -231,7 +237,7 @@ def fit(samples: list[tuple[list[str], int, int]]) -> Model:
     weights, bias = train([(made[i], samples[i][1]) for i in train_on or kept], EPOCHS)
     model = Model(weights, bias, 1.0, float(np.mean([size for _, _, size in made])))
     model.temperature = temperature(model, held)
-    model.kept.clear()
+    model.forget()
     return model
 
 
@@ -291,7 +297,7 @@ class Labeller:
         if len(known) < MIN_WORDS:
             return None
         # words of one or two letters are alike in two languages
-        best = [k[2] for w, k in zip(words, known) if len(w) > 2]
+        best = [self.model.best[k] for w, k in zip(words, known) if len(w) > 2]
         if not best:
             return None
         top = max(set(best), key=best.count)
@@ -322,6 +328,8 @@ class Labeller:
         """(start, end, language, confidence) of the stretches of one language, positions in the stored text from 1."""
         if not text or text.isspace():
             return []
+        if len(self.model.kept) > 100_000:
+            self.model.forget()
         stored = text
         if self.repairer is not None and p6.SUSPECT.search(text):
             text = self.repairer.repair(text)[0]
@@ -337,11 +345,7 @@ class Labeller:
             return [(len(text) - len(text.lstrip()) + 1, len(text.rstrip()), LANGUAGES[one[0]], self.model.confidence(one[1], one[0]))]
         found = self.sentences(text)
         whole = [s for s in found if s[2] >= MIN_WORDS] or found
-        chances = []
-        for s in whole:
-            n = sum([k[1] for k in s[3]])
-            chances.append(self.model.softmax(np.sum([k[0] for k in s[3]], axis=0), n, n or 1))
-        langs = iter(self.path(chances))
+        langs = iter(self.path([self.model.softmax(s[3]) for s in whole]))
         out: list[list] = []
         for s in found:
             if s[2] < MIN_WORDS and whole is not found:

@@ -246,7 +246,8 @@ class Repairer:
         known = self.gaining.get(piece)
         if known is None:
             known = []
-            if not all(c in FRAME for c in piece):
+            # plain words don't gain
+            if not piece.isascii() and not _WORD.fullmatch(piece) and not all(c in FRAME for c in piece):
                 now = self.cost(piece)
                 for k, was in decodings(piece):
                     cost = self.costs.get(was)
@@ -255,7 +256,7 @@ class Repairer:
                         cost = self.letters(plain.group(1)) + 2 * (len(was) - plain.end(1)) if plain else self.signs(was, now)
                     if cost < now:
                         known.append((k, now - cost))
-            if len(self.gaining) > 100_000:
+            if len(self.gaining) > 200_000:
                 self.gaining.clear()
             self.gaining[piece] = known
         return known
@@ -301,15 +302,15 @@ class Repairer:
         makes no blanks, so the pieces keep their places; after a replacement only the blocks
         whose open stretches have changed are looked at again.
         """
-        pieces = regex.split(r"([ \n\r\t]+)", text)
-        # no stretch gains more than all its pieces that gain by themselves, which plain words don't
+        # no stretch gains more than all its pieces that gain by themselves
         most = [0.0] * len(PAIRS)
-        for piece in pieces:
-            if not piece.isascii() and not _WORD.fullmatch(piece):
-                for k, gain in self.gains(piece):
-                    most[k] += gain
+        for piece in text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" "):
+            known = self.gaining.get(piece)
+            for k, gain in self.gains(piece) if known is None else known:
+                most[k] += gain
         if max(most) < MIN_GAIN:
             return text, 0.0
+        pieces = regex.split(r"([ \n\r\t]+)", text)
         blocks = -(-len(pieces) // BLOCK)
         opened = [[NONE] * len(PAIRS)] + [None] * blocks
         bests = [None] * blocks
