@@ -25,13 +25,15 @@ ENTITIES = (("&mdash;", "—"), ("&ndash;", "–"), ("&nbsp;", " "), ("&laquo;",
 
 #: Endings in the order they are tried; repeated ones are kept.
 SUFFIXES = (
-    "ашкахьара ишкахьара ашкахьа ишкахьа ашкара ишкара ошкара ашта ишта ошта аша иша оша аштса иштса оштса ашка ишка ошка "
-    "ийел айел ийех айех ийеха айеха ашха аьш нах рч ари аш иш ий ой ий й чунгара чунга чунна чунах чунца чул нагара нара нга "
-    "нна нца наха нал нах но на агара игара хьара г1ча г1а ара ира аца ица ага ига ача аха иха хьа ана ал ил ах га ца ан хь "
-    "ийтар итар ита нзар цар нза ург аш ача чу чух чура чул ар лаг1а нне лха хо не за ра ло л"
-).split()
-PREFIXES = "юха хьал к1ал г1о д1а т1а чу хьа го".split()
-CLASS_CHANGES = {"в": "йбд", "й": "вбд", "б": "вйд", "д": "вйб"}
+    "ашкахьара", "ишкахьара", "ашкахьа", "ишкахьа", "ашкара", "ишкара", "ошкара", "ашта", "ишта", "ошта", "аша", "иша", "оша", "аштса", "иштса", "оштса",
+    "ашка", "ишка", "ошка", "ийел", "айел", "ийех", "айех", "ийеха", "айеха", "ашха", "аьш", "нах", "рч", "ари", "аш", "иш", "ий", "ой", "ий", "й",
+    "чунгара", "чунга", "чунна", "чунах", "чунца", "чул", "нагара", "нара", "нга", "нна", "нца", "наха", "нал", "нах", "но", "на", "агара", "игара",
+    "хьара", "г1ча", "г1а", "ара", "ира", "аца", "ица", "ага", "ига", "ача", "аха", "иха", "хьа", "ана", "ал", "ил", "ах", "га", "ца", "ан", "хь",
+    "ийтар", "итар", "ита", "нзар", "цар", "нза", "ург", "аш", "ача", "чу", "чух", "чура", "чул", "ар", "лаг1а", "нне", "лха", "хо", "не", "за", "ра",
+    "ло", "л",
+)
+PREFIXES = ("юха", "хьал", "к1ал", "г1о", "д1а", "т1а", "чу", "хьа", "го")
+CLASS_CHANGES = {"в": ("й", "б", "д"), "й": ("в", "б", "д"), "б": ("в", "й", "д"), "д": ("в", "й", "б")}
 #: Nominative and oblique stem.
 ABLAUT = {"бер": "биер", "дег": "диег", "деш": "диеш", "ден": "диен", "лоам": "лам", "боал": "бал", "тоам": "там"}
 

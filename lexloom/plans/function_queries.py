@@ -71,14 +71,14 @@ _PAGE = "concat('<h1 class=a> <b>', category, '</b></h1><script>var p=''<p>no</p
 with h as (select doc_id, {_PAGE} h from documents where text is not null and not contains(text, '<'))
 select doc_id, {s_strip(s_sub("regexp_extract(h, '(?is)<h1[^>]*>(.*?)</h1>', 1)", "<[^>]+>"))} as title,
  array_to_string(list_filter(list_transform(regexp_extract_all({s_sub(s_sub("h", "(?is)<script[^>]*>.*?</script>"), "(?is)<style[^>]*>.*?</style>")}, '(?is)<p[^>]*>(.*?)</p>', 1),
- lambda p: {s_sub(s_strip(s_sub("p", "<[^>]+>")), f"[{_W}" + chr(92) + "n]+", " ")}), lambda p: length(p) > 30), chr(10) || chr(10)) as text from h""")
+ lambda p: {s_sub(s_strip(s_sub("p", "<[^>]+>")), f"[{_W}\\n]+", " ")}), lambda p: length(p) > 30), chr(10) || chr(10)) as text from h""")
 def f11(spark, d):
     page = F.concat(F.lit("<h1 class=a> <b>"), "category", F.lit("</b></h1><script>var p='<p>no</p>';</script><p>"), "text", F.lit("</p><P>too short</P><style>p</style>"))
     return table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").contains("<")).select("doc_id", S.article(page).alias("a")).select("doc_id", "a.title", "a.text")
 
 
 @C.add("F13_tab_text", "select pair_id, " + s_strip(s_sub(_p.replace("text", "substring(h, strpos(h, '>') + 1)"), f"\\n[{_W}\\n]*\\n[{_W}\\n]*\\n+", "\n\n")) + """ as text from
- (select pair_id, substring(concat('<div><ul id="tab1"><li>&laquo;', rus, '</li></ul>'), 9 + 0, 30000) h from (select pair_id, rus from parallel_ing_rus where rus is not null))""".replace("9 + 0", "10"))
+ (select pair_id, substring(concat('<div><ul id="tab1"><li>&laquo;', rus, '</li></ul>'), 10, 30000) h from (select pair_id, rus from parallel_ing_rus where rus is not null))""")
 def f13(spark, d):
     page = F.concat(F.lit('<div><ul id="tab1"><li>&laquo;'), "rus", F.lit("</li></ul>"))
     return table(spark, d, "parallel_ing_rus").where("rus is not null").select("pair_id", S.tab_text(page, "tab1").alias("text"))
@@ -113,7 +113,7 @@ def f14(spark, d):
 _lines = f"list_filter(list_transform(string_split(t, chr(10)), lambda x: {s_strip('x')}), lambda x: x <> '' and not regexp_matches(x, '^=+\\s*.+\\s*=+$'))"
 
 
-@C.add("F15_wiki_line", f"select mono_id, {s_strip(s_sub(f'array_to_string({_lines}, chr(32))', '[ ' + chr(92) + 't]+', ' '))} as text from (select mono_id, concat('== ', source, ' ==', chr(10), text) t from mono where text is not null)")
+@C.add("F15_wiki_line", f"select mono_id, {s_strip(s_sub(f'array_to_string({_lines}, chr(32))', '[ \\t]+', ' '))} as text from (select mono_id, concat('== ', source, ' ==', chr(10), text) t from mono where text is not null)")
 def f15(spark, d):
     t = F.concat(F.lit("== "), F.coalesce("source", F.lit("")), F.lit(" ==\n"), "text")
     return table(spark, d, "mono").where("text is not null").select("mono_id", S.wiki_line(t).alias("text"))
@@ -121,7 +121,7 @@ def f15(spark, d):
 
 @C.add("F16_library_page", f"""
 with h as (select doc_id, case doc_id % 3 when 0 then concat('<HTML><body><pre> ', text, '&nbsp;x</pre>tail') when 1 then concat('<html><style>a</style><b>', text, '</b>&gt;') else text end h from documents where text is not null)
-select doc_id, {s_strip(s_sub(s_sub(s_replace("case when not regexp_matches(h, '(?i)<html') then h when regexp_matches(h, '(?is)<pre[^>]*>.*?</pre>') then regexp_extract(h, '(?is)<pre[^>]*>(.*?)</pre>', 1) else " + s_sub(s_sub(s_sub("h", "(?is)<script[^>]*>.*?</script>"), "(?is)<style[^>]*>.*?</style>"), "<[^>]+>") + " end", RAW_HTML), chr(92) + "r" + chr(92) + "n?", chr(10)), chr(92) + "n{3,}", chr(10) * 2))} as text from h""")
+select doc_id, {s_strip(s_sub(s_sub(s_replace("case when not regexp_matches(h, '(?i)<html') then h when regexp_matches(h, '(?is)<pre[^>]*>.*?</pre>') then regexp_extract(h, '(?is)<pre[^>]*>(.*?)</pre>', 1) else " + s_sub(s_sub(s_sub("h", "(?is)<script[^>]*>.*?</script>"), "(?is)<style[^>]*>.*?</style>"), "<[^>]+>") + " end", RAW_HTML), "\\r\\n?", chr(10)), "\\n{3,}", chr(10) * 2))} as text from h""")
 def f16(spark, d):
     k = F.col("doc_id") % 3
     page = F.when(k == 0, F.concat(F.lit("<HTML><body><pre> "), "text", F.lit("&nbsp;x</pre>tail"))).when(k == 1, F.concat(F.lit("<html><style>a</style><b>"), "text", F.lit("</b>&gt;"))).otherwise(F.col("text"))
@@ -161,7 +161,7 @@ def f22(spark, d):
     return table(spark, d, "book_catalog").select("slug", S.path_slug(F.col("download_page_url")).alias("value")).distinct()
 
 
-@C.add("F23_mapped_source", f"select distinct slug, case category_name when 'Газеты' then 'press' when 'История' then 'history' else concat('src-', lower({s_sub(s_sub(chr(99) + 'oalesce(category_name, ' + lit('unknown') + ')', '[^' + chr(92) + 'pL' + chr(92) + 'pM' + chr(92) + 'pN_]+', '-'), '^-+|-+$')})) end as value from book_catalog")
+@C.add("F23_mapped_source", f"select distinct slug, case category_name when 'Газеты' then 'press' when 'История' then 'history' else concat('src-', lower({s_sub(s_sub("coalesce(category_name, 'unknown')", '[^\\pL\\pM\\pN_]+', '-'), '^-+|-+$')})) end as value from book_catalog")
 def f23(spark, d):
     return table(spark, d, "book_catalog").select("slug", S.mapped_source(F.col("category_name"), {"Газеты": "press", "История": "history"}, "src-").alias("value")).distinct()
 
@@ -195,11 +195,11 @@ def f27(spark, d):
     return table(spark, d, "book_catalog").select("slug", S.genre(F.coalesce(t, F.lit(""))).alias("value")).distinct()
 
 
-_hw = f"regexp_extract({s_strip('text')}, {lit(f'^([^{_W}' + chr(92) + 'n(,;—–]+)')}, 1)"
+_hw = f"regexp_extract({s_strip('text')}, {lit(f'^([^{_W}\\n(,;—–]+)')}, 1)"
 over("F28_headword", "documents", "doc_id", "text", S.headword, s_sub(s_sub(s_sub(_hw, "^[.,;:!?»«\"')0-9]+|[.,;:!?»«\"')0-9]+$"), "-+$"), "\\d+$"))
 _bw = s_strip(s_sub(s_strip(s_sub(s_squeeze(s_replace(s_sub(s_strip("regexp_extract(h, '<b>([^<]+)</b>', 1)"), "<[^>]+>", " "), RAW_HTML)), "\\([^)]*\\)")), "[{}\\[\\]<>]"))
 _bw = s_sub(s_sub(_bw, "[\\x{B9}\\x{B2}\\x{B3}\\x{2070}-\\x{2079}]"), "[\\x{300}-\\x{36F}]")
-_bw = f"lower({s_strip(s_sub(s_strip(f'string_split_regex({_bw}, {lit(chr(91) + chr(44) + chr(47) + chr(93))})[1]'), f'[^' + chr(92) + 'x{400}-' + chr(92) + 'x{4FF}' + _W + chr(92) + 'n' + chr(92) + '-]'))})"
+_bw = f"lower({s_strip(s_sub(s_strip(f'string_split_regex({_bw}, {lit('[,/]')})[1]'), '[^\\x{400}-\\x{4FF}' + _W + '\\n\\-]'))})"
 
 
 @C.add("F28_bold_headword", f"select pair_id, case when length({_bw}) >= 2 then {_bw} end as value from (select pair_id, concat('<i>x</i><b> ', ing, ' (1)</b>') h from parallel_ing_rus where pair_type = 'word_pair')")
@@ -209,7 +209,7 @@ def f28b(spark, d):
 
 
 _st = s_strip(f"string_split({s_strip('rus')}, chr(10))[1]")
-_st = f"replace({s_strip(s_sub(_st, f'[{_W}' + chr(92) + 'n]*' + chr(92) + '([^)]{0,15}' + chr(92) + f')[{_W}' + chr(92) + 'n]*$'))}, chr(173), '')"
+_st = f"replace({s_strip(s_sub(_st, f'[{_W}\\n]*\\([^)]{{0,15}}\\)[{_W}\\n]*$'))}, chr(173), '')"
 
 
 @C.add("F29_short_translation", f"select pair_id, case when length(s) > 60 then {s_strip('case when strpos(substring(s, 1, 60), ' + lit(',') + ') > 0 then ' + s_sub('substring(s, 1, 60)', ',[^,]*$') + ' else substring(s, 1, 60) end')} else s end as value from (select pair_id, {_st} s from parallel_ing_rus)")
@@ -217,11 +217,11 @@ def f29(spark, d):
     return table(spark, d, "parallel_ing_rus").select("pair_id", S.short_translation(F.col("rus")).alias("value"))
 
 
-_pt = s_strip(f"string_split({s_sub('rus', f'Букв' + chr(92) + '.:?[' + _W + chr(92) + 'n]*«[^»]+»' + chr(92) + '.?[' + _W + chr(92) + 'n]*')}, '.')[1]")
+_pt = s_strip(f"string_split({s_sub('rus', f'Букв\\.:?[{_W}\\n]*«[^»]+»\\.?[{_W}\\n]*')}, '.')[1]")
 over("F29_phrase_translation", "parallel_ing_rus", "pair_id", "rus", S.phrase_translation, s_strip(s_sub(s_strip(s_sub(_pt, f"[{_W}\\n]*\\([^)]{{10,}}\\)")), "[.,]+$")))
-_nt = s_strip(f"string_split_regex({_strip1.replace('text', 'rus')}, {lit(chr(92) + 'd+' + chr(92) + '.')})[1]")
+_nt = s_strip(f"string_split_regex({_strip1.replace('text', 'rus')}, {lit('\\d+\\.')})[1]")
 _nt = s_sub(s_sub(s_strip(s_sub(s_strip(s_sub(_nt, "\\([^)]*\\)")), "\\[.*?\\]")), f"[{_W}\\n]+", " "), "^[ .,;:]+|[ .,;:]+$")
-over("F29_numbered_translation", "parallel_ing_rus", "pair_id", "rus", S.numbered_translation, f"case when rus is null then null when length({_nt}) > 1 then {_nt} else '' end".replace("case when rus is null then null when", "case when"))
+over("F29_numbered_translation", "parallel_ing_rus", "pair_id", "rus", S.numbered_translation, f"case when length({_nt}) > 1 then {_nt} else '' end")
 
 
 @C.add("F30_dash_entries", f"""
@@ -257,7 +257,7 @@ def f34(spark, d):
     return table(spark, d, "parallel_ing_rus").where("ing <> ''").select("pair_id", S.replace_nth_word(F.col("ing"), F.lit(2), F.lit("[X]")).alias("value"))
 
 
-@C.add("F35_fix_literal", f"select pair_id, {s_sub(s_sub('concat(' + lit('[{\"a\": \"') + ', num, ' + lit('\" , }, ]') + ')', ',' + chr(92) + 's*' + chr(92) + ']', ']'), ',' + chr(92) + 's*' + chr(92) + '}', '}')} as value from parallel_ing_rus")
+@C.add("F35_fix_literal", f"select pair_id, {s_sub(s_sub('concat(' + lit('[{\"a\": \"') + ', num, ' + lit('\" , }, ]') + ')', ',\\s*\\]', ']'), ',\\s*\\}', '}')} as value from parallel_ing_rus")
 def f35(spark, d):
     t = F.concat(F.lit('[{"a": "'), F.coalesce(F.col("num").cast("string"), F.lit("")), F.lit('" , }, ]'))
     return table(spark, d, "parallel_ing_rus").select("pair_id", S.fix_literal(t).alias("value"))
@@ -323,7 +323,7 @@ def f40(spark, d):
     return table(spark, d, "parallel_ing_rus").where("num is not null").select("pair_id", F.explode(S.page_ranges(spec)).alias("page"))
 
 
-@C.add("F41_clean_page", f"select mono_id, {s_strip('replace(' + s_sub(chr(99) + 'oncat(mono_id, chr(10), text)', '^' + chr(92) + 's*' + chr(92) + 'd+' + chr(92) + 's*' + chr(92) + 'n') + ', chr(173), ' + lit('') + ')')} as text from mono where text is not null")
+@C.add("F41_clean_page", f"select mono_id, {s_strip('replace(' + s_sub('concat(mono_id, chr(10), text)', '^\\s*\\d+\\s*\\n') + ', chr(173), ' + lit('') + ')')} as text from mono where text is not null")
 def f41(spark, d):
     return table(spark, d, "mono").where("text is not null").select("mono_id", S.clean_page(F.concat(F.col("mono_id").cast("string"), F.lit("\n"), "text")).alias("text"))
 
@@ -410,7 +410,7 @@ _CAPS = "(x = upper(x) and regexp_matches(x, '\\pL'))"
 
 def _cut(flow: str, keep: str) -> str:
     """Sentences of a text: terminators are replaced by a mark, then it is split at the marks."""
-    return f"list_filter(list_transform(string_split({s_sub(flow, _ENDS, chr(92) + '1' + chr(1) + chr(92) + '2')}, chr(1)), lambda y: {s_strip('y')}), lambda y: length(y) {keep})"
+    return f"list_filter(list_transform(string_split({s_sub(flow, _ENDS, '\\1' + chr(1) + '\\2')}, chr(1)), lambda y: {s_strip('y')}), lambda y: length(y) {keep})"
 
 
 def _numbered(cut: str) -> str:
@@ -420,7 +420,7 @@ def _numbered(cut: str) -> str:
 _short = f"array_to_string(list_filter({_LN}, lambda x: not (len(string_split_regex(x, '\\s+')) <= 2 and (regexp_matches(x, '^\\d+$') or {_CAPS}))), ' ')"
 _noncaps = f"array_to_string(list_filter({_LN}, lambda x: not (len(string_split_regex(x, '\\s+')) <= 8 and {_CAPS})), ' ')"
 _flat = s_strip(s_sub("text", f"[{_W}\\n]+", " "))
-_kept = f"list_filter(list_transform(string_split({s_sub(_flat, '([.!?»])' + chr(92) + 's+([А-ЯЁ«' + chr(92) + 'd' + chr(34) + '])', chr(92) + '1' + chr(1) + chr(92) + '2')}, chr(1)), lambda y: {s_strip('y')}), lambda y: length(y) >= 15)"
+_kept = f"list_filter(list_transform(string_split({s_sub(_flat, '([.!?»])\\s+([А-ЯЁ«\\d"])', '\\1' + chr(1) + '\\2')}, chr(1)), lambda y: {s_strip('y')}), lambda y: length(y) >= 15)"
 for _name, _fn, _sql in (
     ("G06_sentences_joined", W.sentences_joined, _numbered(_cut(_short, "> 10"))),
     ("G07_sentences_by_line", W.sentences_by_line, _numbered(f"flatten(list_transform({_LN}, lambda x: {_cut('x', '>= 15')}))")),

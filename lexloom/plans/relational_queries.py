@@ -206,7 +206,7 @@ with p as (select word, translation, nullif(regexp_extract(lower(translation), {
 j as (select p.*, k.translation as bt from p left join {TR_SQL} k on p.base = k.word),
 v as (select *, case when lower(word) = lower(translation) then 'bad:same' when base is not null then (case when bt is not null then 'good:derived' else 'bad:derived' end)
  when regexp_matches(translation, {lit('(?i)' + P.BARE)}) then 'bad:note' when length({s_strip('translation')}) < 3 then 'bad:short' when regexp_matches(translation, '\\d') then 'bad:digit'
- when len(string_split({s_strip(s_sub('translation', f'[{P.WS}' + chr(92) + 'n]+', ' '))}, ' ')) > 5 then 'suspect:long' when regexp_matches(word, '[a-zA-Z]') then 'bad:latin' else 'good:plain' end v from j)
+ when len(string_split({s_strip(s_sub('translation', f'[{P.WS}\\n]+', ' '))}, ' ')) > 5 then 'suspect:long' when regexp_matches(word, '[a-zA-Z]') then 'bad:latin' else 'good:plain' end v from j)
 select word, case when v = 'good:derived' then bt else translation end as translation, string_split(v, ':')[1] as verdict, string_split(v, ':')[2] as reason from v"""
 
 
