@@ -118,16 +118,17 @@ def check(texts: DataFrame, key: str, col: str, dictionary: DataFrame, freq: Dat
     return words.join(unknown.join(s, "word", "left"), "word").select(key, "position", "word", "suggestions")
 
 
-def context(texts: DataFrame, key: str, col: str, unigrams: DataFrame, bigrams: DataFrame, total: int, vocabulary: int) -> DataFrame:
+def context(texts: DataFrame, key: str, col: str, unigrams: DataFrame, bigrams: DataFrame) -> DataFrame:
     """(key, position, bigram, score): neighbours that were expected at least once and never seen."""
     d = texts.select(key, W.positioned_words(S.normalize_palochka(F.lower(F.col(col)))).alias("__w")).where(F.size("__w") > 1)
     n = F.size("__w") - 1
     pairs = F.arrays_zip(F.slice("__w", F.lit(1), n).alias("a"), F.slice("__w", F.lit(2), n).alias("b"))
     b = d.select(key, F.explode(pairs).alias("p")).select(key, F.col("p.a.position").alias("position"), F.col("p.a.word").alias("w1"), F.col("p.b.word").alias("w2"))
     u1, u2 = unigrams.select(F.col("word").alias("w1"), F.col("n").alias("f1")), unigrams.select(F.col("word").alias("w2"), F.col("n").alias("f2"))
-    j = b.join(u1, "w1").join(u2, "w2").where(F.col("f1") * F.col("f2") / F.lit(float(total)) >= 1.0)
+    totals = F.broadcast(unigrams.agg(F.sum("n").cast("double").alias("total"), F.count("*").alias("vocabulary")))  # one row
+    j = b.join(u1, "w1").join(u2, "w2").crossJoin(totals).where(F.col("f1") * F.col("f2") / F.col("total") >= 1.0)
     j = j.join(bigrams.select("w1", "w2"), ["w1", "w2"], "left_anti")
-    return j.select(key, "position", F.concat_ws(" ", "w1", "w2").alias("bigram"), (F.lit(1.0) / (F.col("f1") + vocabulary)).alias("score"))
+    return j.select(key, "position", F.concat_ws(" ", "w1", "w2").alias("bigram"), (F.lit(1.0) / (F.col("f1") + F.col("vocabulary"))).alias("score"))
 
 
 def laplace(c12: Column, c1: Column, vocabulary: Column) -> Column:
@@ -138,10 +139,21 @@ def expected(f1: Column, f2: Column, total: Column) -> Column:
     return f1 * f2 / total
 
 
+def related_words(word: DataFrame, dictionary: DataFrame, most: int) -> DataFrame:
+    """(word, related, rank): words with the same first four letters, shortest first.
+
+    One more than ``most`` of each beginning are enough, as a word is not related to itself, so
+    the join makes no more rows than that for a word, however many share its beginning.
+    """
+    order = (F.length("related"), F.col("related"))
+    d = dictionary.select(F.col("word").alias("related"), F.substring("word", 1, 4).alias("p")).distinct()
+    heads = d.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy(*order))).where(F.col("k") <= most + 1).drop("k")
+    j = word.select("word", F.substring("word", 1, 4).alias("p")).join(heads, "p").where("word <> related")
+    return j.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(*order))).where(F.col("rank") <= most).select("word", "related", "rank")
+
+
 def word_card(word: DataFrame, freq: DataFrame, translations: DataFrame, dictionary: DataFrame, related: int = 6) -> DataFrame:
     """(word, freq, translation, related): related words share the first four letters, shortest first."""
-    p = dictionary.select(F.col("word").alias("r"), F.substring("word", 1, 4).alias("p"))
-    j = word.withColumn("p", F.substring("word", 1, 4)).join(p, "p").where("word <> r")
-    w = Window.partitionBy("word").orderBy(F.length("r"), "r")
-    top = j.withColumn("k", F.row_number().over(w)).where(F.col("k") <= related).groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda x: x["r"]), "|").alias("related"))
+    j = related_words(word, dictionary, related)
+    top = j.groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "related"))), lambda x: x["related"]), "|").alias("related"))
     return word.join(freq, "word", "left").join(translations, "word", "left").join(top, "word", "left").select("word", F.coalesce("freq", F.lit(0)).alias("freq"), F.coalesce("translation", F.lit("")).alias("translation"), F.coalesce("related", F.lit("")).alias("related"))

@@ -68,13 +68,13 @@ _PAGE = "concat('<h1 class=a> <b>', category, '</b></h1><script>var p=''<p>no</p
 
 
 @C.add("F11_article", f"""
-with h as (select doc_id, {_PAGE} h from documents where text is not null and not contains(text, '<'))
+with h as (select doc_id, {_PAGE} h from documents where text is not null)
 select doc_id, {s_strip(s_sub("regexp_extract(h, '(?is)<h1[^>]*>(.*?)</h1>', 1)", "<[^>]+>"))} as title,
  array_to_string(list_filter(list_transform(regexp_extract_all({s_sub(s_sub("h", "(?is)<script[^>]*>.*?</script>"), "(?is)<style[^>]*>.*?</style>")}, '(?is)<p[^>]*>(.*?)</p>', 1),
  lambda p: {s_sub(s_strip(s_sub("p", "<[^>]+>")), f"[{_W}\\n]+", " ")}), lambda p: length(p) > 30), chr(10) || chr(10)) as text from h""")
 def f11(spark, d):
     page = F.concat(F.lit("<h1 class=a> <b>"), "category", F.lit("</b></h1><script>var p='<p>no</p>';</script><p>"), "text", F.lit("</p><P>too short</P><style>p</style>"))
-    return table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").contains("<")).select("doc_id", S.article(page).alias("a")).select("doc_id", "a.title", "a.text")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", S.article(page).alias("a")).select("doc_id", "a.title", "a.text")
 
 
 @C.add("F13_tab_text", "select pair_id, " + s_strip(s_sub(_p.replace("text", "substring(h, strpos(h, '>') + 1)"), f"\\n[{_W}\\n]*\\n[{_W}\\n]*\\n+", "\n\n")) + """ as text from
@@ -276,10 +276,10 @@ _tail = "substring(x, strpos(x, '</sup>') + 6)"
 
 
 @C.add("F37_verses", f"""
-with p as (select pair_id, unnest(string_split({_vh}, '<sup>')[2:]) x from parallel_ing_rus where pair_type = 'verse' and rus is not null and ing is not null and not contains(rus, '<') and not contains(ing, '<'))
+with p as (select pair_id, unnest(string_split({_vh}, '<sup>')[2:]) x from parallel_ing_rus where pair_type = 'verse' and rus is not null and ing is not null)
 select pair_id, cast(string_split(x, '</sup>')[1] as integer) as n, {s_squeeze(s_sub(_tail, '<[^>]+>'))} as text from p where {s_squeeze(s_sub(_tail, '<[^>]+>'))} <> ''""")
 def f37(spark, d):
-    t = table(spark, d, "parallel_ing_rus").where("pair_type = 'verse' and rus is not null and ing is not null and not contains(rus, '<') and not contains(ing, '<')")
+    t = table(spark, d, "parallel_ing_rus").where("pair_type = 'verse' and rus is not null and ing is not null")
     html = F.concat(F.lit("<h1>x</h1><sup>"), "num", F.lit("</sup> "), "rus", F.lit(" <sup>"), (F.col("num") + 1).cast("string"), F.lit("</sup><b>"), "ing", F.lit("</b> <sup>7</sup> "))
     return t.select("pair_id", F.explode(S.verses(html)).alias("v")).select("pair_id", "v.n", "v.text")
 
@@ -381,25 +381,20 @@ def g04(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(W.paragraphs(F.col("text"))).alias("paragraph"))
 
 
+_LONG = f"list_transform(list_filter(string_split({s_sub('p', f'([.!?])[{_W}\\n]+', '\\1' + chr(1))}, chr(1)), lambda s: length(s) >= 30), lambda s: {{'t': s, 'g': ' '}})"
+
+
 @C.add("G05_segments", f"""
-with recursive p as (select doc_id, list_filter(list_transform(string_split_regex(text, '\\n{{2,}}'), lambda p: {s_strip('p')}), lambda p: length(p) >= 30) l from documents where text is not null),
-ok as (select doc_id, l from p where coalesce(list_max(list_transform(l, lambda x: length(x))), 0) <= 300),
-r as (select doc_id, l, 1 as i, cast([] as varchar[]) as done, '' as now from ok
+with recursive paragraphs as (select doc_id, list_filter(list_transform(string_split_regex(text, '\\n{{2,}}'), lambda p: {s_strip('p')}), lambda p: length(p) >= 30) l from documents where text is not null),
+u as (select doc_id, flatten(list_transform(l, lambda p: case when length(p) > 2000 then {_LONG} else [{{'t': p, 'g': chr(10) || chr(10)}}] end)) l from paragraphs),
+r as (select doc_id, l, 1 as i, cast([] as varchar[]) as done, '' as now from u
  union all
- select doc_id, l, i + 1, case when length(now) + length(l[i]) < 300 or now = '' then done else list_append(done, {s_strip('now')}) end,
-  case when length(now) + length(l[i]) < 300 then (case when now = '' then l[i] else concat(now, chr(10) || chr(10), l[i]) end) else l[i] end from r where i <= len(l)),
+ select doc_id, l, i + 1, case when length(now) + length(l[i].t) < 2000 or now = '' then done else list_append(done, {s_strip('now')}) end,
+  case when length(now) + length(l[i].t) < 2000 then (case when now = '' then l[i].t else concat(now, l[i].g, l[i].t) end) else l[i].t end from r where i <= len(l)),
 f as (select doc_id, case when now = '' then done else list_append(done, {s_strip('now')}) end s from r where i = len(l) + 1)
-select doc_id, unnest(s) as segment from f""")
+select doc_id, generate_subscripts(s, 1) - 1 as n, unnest(s) as segment from f""")
 def g05(spark, d):
-    """Documents whose paragraphs all fit; the sentence branch is tested on fixtures."""
-    docs = table(spark, d, "documents").where("text is not null")
-    fits = F.forall(F.filter(F.transform(F.split("text", "\\n{2,}"), S.strip), lambda p: F.length(p) >= 30), lambda p: F.length(p) <= 300)
-    return docs.where(fits).select("doc_id", F.explode(W.segments(F.col("text"), 30, 300)).alias("segment"))
-
-
-@C.add("G05_segments_full")
-def g05_full(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(W.segments(F.col("text"))).alias("n", "segment"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(W.segments(F.col("text"))).alias("n", "segment")).select("doc_id", F.col("n").cast("bigint").alias("n"), "segment")
 
 
 _ENDS = "([^А-ЯA-Z\\d])[.!?…]+(\\s+[А-ЯA-ZЁ«\"“]|$)"

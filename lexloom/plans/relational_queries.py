@@ -10,6 +10,7 @@ from lexloom.functions import strings as S
 from lexloom.functions import words as W
 from lexloom.operators import filters as O
 from lexloom.operators import relations as R
+from lexloom.operators import spelling as SP
 
 from .base import Catalogue, lit, s_replace, s_strip, s_sub, table
 from .function_queries import C_MODEL_WORDS, CLASS_SQL, SCORE_SQL
@@ -348,17 +349,10 @@ def _one_byte(e: str) -> str:
 LEV = f"levenshtein({_one_byte('c.word')}, {_one_byte('t.word')})"
 
 
-def near_words(unknown, known, most: int = 2):
-    """(word, candidate, distance) within ``most`` edits: an equi-join on the length, then the bounded distance."""
-    k = known.select(F.col("word").alias("candidate"), F.explode(F.sequence(F.length("word") - most, F.length("word") + most)).alias("len"))
-    j = unknown.withColumn("len", F.length("word")).join(k, "len")
-    return j.withColumn("distance", F.levenshtein("word", "candidate", most)).where("distance >= 0").select("word", "candidate", "distance")
-
-
 @C.add("J12_edit_distance", f"select c.word, t.word as candidate, {LEV} as distance from {_CW} c, {TR_SQL} t where {LEV} <= 2")
 def j12(spark, d):
     common = table(spark, d, "common_words").where("length(word) > 2 and lang <> 'eng'").select("word").distinct()
-    return near_words(common, translations(spark, d))
+    return SP.near(common, translations(spark, d).select("word"))
 
 
 @C.add("J13_keywords_in_titles", """
@@ -369,10 +363,10 @@ def j13(spark, d):
     """Substring search of many keywords: texts are cut into their substrings of the keywords' lengths, so the join is an equi-join."""
     b = table(spark, d, BOOK).where("title is not null")
     kw = b.where("priority = 1").select(F.explode(F.split(F.lower("title"), " ")).alias("kw")).where("length(kw) > 3").distinct()
-    lengths = [r.n for r in kw.select(F.length("kw").alias("n")).distinct().collect()]  # distinct word lengths, a few dozen
+    lengths = F.broadcast(kw.agg(F.collect_set(F.length("kw")).alias("lengths")))  # one row, as many numbers as word lengths
     text = b.select("slug", F.lower(F.concat("title", F.lit(" "), F.coalesce("author", F.lit("")))).alias("t")).distinct()
-    grams = F.flatten(F.transform(F.array(*[F.lit(n) for n in lengths or [4]]), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - n + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, n))))
-    return text.select("slug", F.explode(F.array_distinct(grams)).alias("kw")).join(kw, "kw").select("kw", "slug").distinct()
+    grams = F.flatten(F.transform("lengths", lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - n + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, n))))
+    return text.crossJoin(lengths).select("slug", F.explode(F.array_distinct(grams)).alias("kw")).join(kw, "kw").select("kw", "slug").distinct()
 
 
 @C.add("J14_timeline_era", "select o_orderkey, case when y < 1995 then 'early' when y < 1999 then 'middle' when y < 9999 then 'late' end as era from (select o_orderkey, coalesce(year(o_orderdate), 0) y from orders)")
@@ -393,15 +387,15 @@ def j14b(spark, d):
 with w as (select word, substring(word, 1, 4) p from {TR_SQL}), j as (select a.word, b.word as related, row_number() over (partition by a.word order by length(b.word), b.word) rk from w a join w b on a.p = b.p and a.word <> b.word)
 select word, related, rk as rank from j where rk <= 6""")
 def j15(spark, d):
-    w = translations(spark, d).select("word", F.substring("word", 1, 4).alias("p"))
-    j = w.join(w.select(F.col("word").alias("related"), "p"), "p").where("word <> related")
-    return R.top_per_key(j, ["word"], 6, F.length("related"), "related").select("word", "related", "rank")
+    return SP.related_words(translations(spark, d).select("word"), translations(spark, d).select("word"), 6)
 
 
-@C.add("J16_link_table", "select a.pair_id as pair_a, b.pair_id as pair_b from parallel_ing_rus a join parallel_ing_rus b on a.poem_id = b.poem_id where a.pair_type = 'poem' and b.pair_type <> 'poem'")
+@C.add("J16_link_table", "select a.pair_id as pair_a, b.pair_id as pair_b from parallel_ing_rus a join parallel_ing_rus b on a.verse_ref = b.verse_ref where a.ing is not null and b.rus is not null and a.pair_id <> b.pair_id")
 def j16(spark, d):
-    t = table(spark, d, PAR).where("poem_id is not null")
-    return t.where("pair_type = 'poem'").select("poem_id", F.col("pair_id").alias("pair_a")).join(t.where("pair_type <> 'poem'").select("poem_id", F.col("pair_id").alias("pair_b")), "poem_id").select("pair_a", "pair_b")
+    """Texts of one language with those of the other that a reference links to them, without a row with itself."""
+    t = table(spark, d, PAR).where("verse_ref is not null")
+    a = t.where("ing is not null").select("verse_ref", F.col("pair_id").alias("pair_a"))
+    return a.join(t.where("rus is not null").select("verse_ref", F.col("pair_id").alias("pair_b")), "verse_ref").where("pair_a <> pair_b").select("pair_a", "pair_b")
 
 
 @C.add("J17_url_rewrite", "select distinct a.slug, b.download_page_url as other from book_catalog a join book_catalog b on regexp_replace(a.download_page_url, '/item/', '/') = regexp_replace(b.download_page_url, '/item/', '/')")
@@ -425,20 +419,12 @@ def bigrams(df, key, col):
 
 
 @C.add("J18_unseen_bigrams", f"""
-with seen as (select w1, w2 from {_BI} group by w1, w2 having count(*) >= 2), b as (select distinct w1, w2 from {_BI} where doc % 5 = 0)
+with seen as (select w1, w2 from {_BI} group by w1, w2 having count(*) >= 2), b as (select distinct w1, w2 from {_BI})
 select b.w1, b.w2 from b where not exists (select 1 from seen s where s.w1 = b.w1 and s.w2 = b.w2)""")
 def j18(spark, d):
     b = bigrams(table(spark, d, PAR), "pair_id", "ing")
     seen = b.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n >= 2").select("w1", "w2")
-    return b.where("pair_id % 5 = 0").select("w1", "w2").distinct().join(seen, ["w1", "w2"], "left_anti")
-
-
-@C.add("J18_unseen_bigrams_full")
-def j18_full(spark, d):
-    """The same over the bigrams of all pairs."""
-    b = bigrams(table(spark, d, PAR), "pair_id", "ing")
-    n = b.groupBy("w1", "w2").agg(F.count("*").alias("n"))
-    return b.select("w1", "w2").distinct().join(n.where("n >= 2").select("w1", "w2"), ["w1", "w2"], "left_anti")
+    return b.select("w1", "w2").distinct().join(seen, ["w1", "w2"], "left_anti")
 
 
 @C.add("J19_pair_cosine", "select a.vec_id, round(list_inner_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")

@@ -158,11 +158,18 @@ def s18(spark, d):
     return CA.external(table(spark, d, "mono").select("mono_id", F.encode("text", "UTF-8").alias("content")), recognise, "mono_id bigint, n int")
 
 
-@C.add("S19_charsets", "select pair_id, rus from parallel_ing_rus where regexp_matches(rus, '^[а-яА-ЯёЁ0-9 .,!?:-]+$')")
+def _beyond(charset: str, escape: str) -> str:
+    """Pattern of a character that the charset hasn't got."""
+    held = sorted(ord(c) for c in bytes(range(256)).decode(charset, "ignore"))
+    return "[^" + "".join(escape % c for c in held) + "]"
+
+
+@C.add("S19_charsets", f"select pair_id, case when pair_id % 2 = 0 then regexp_replace(rus, '{_beyond('koi8-r', '\\x{%x}')}', '?', 'g') else regexp_replace(rus, '{_beyond('cp1251', '\\x{%x}')}', '?', 'g') end as rus from parallel_ing_rus where rus is not null")
 def s19(spark, d):
-    p = table(spark, d, PAR).where(F.col("rus").rlike("^[а-яА-ЯёЁ0-9 .,!?:-]+$"))
-    text = F.when(F.col("pair_id") % 2 == 0, L.decoded(L.encoded(F.col("rus"), "koi8-r"), "koi8-r")).otherwise(L.decoded(L.encoded(F.col("rus"), "cp1251"), "cp1251"))
-    return p.select("pair_id", text.alias("rus"))
+    """Every text written and read in a charset; what the charset hasn't got comes back as a question mark."""
+    p = table(spark, d, PAR).where("rus is not null")
+    made = [L.decoded(L.encoded(F.regexp_replace("rus", _beyond(c, "\\x{%x}"), "?"), c), c) for c in ("koi8-r", "cp1251")]
+    return p.select("pair_id", F.when(F.col("pair_id") % 2 == 0, made[0]).otherwise(made[1]).alias("rus"))
 
 
 @C.add("S20_fallback_chain", "select source, text from (select source, text, row_number() over (partition by source order by mono_id) n from mono where length(text) > 300 and source is not null) where n = 1")

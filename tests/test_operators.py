@@ -51,9 +51,18 @@ def test_context(spark):
     texts = spark.createDataFrame([(1, "а б"), (2, "")], "id int, t string")
     uni = spark.createDataFrame([("а", 10), ("б", 20)], "word string, n int")
     none = spark.createDataFrame([], "w1 string, w2 string")
-    rows = SP.context(texts, "id", "t", uni, none, 100, 50).collect()
-    assert [(r.id, r.position, r.bigram) for r in rows] == [(1, 0, "а б")] and abs(rows[0].score - 1 / 60) < 1e-12
-    assert SP.context(texts, "id", "t", uni, none, 1000, 50).count() == 0
+    rows = SP.context(texts, "id", "t", uni, none).collect()
+    assert [(r.id, r.position, r.bigram) for r in rows] == [(1, 0, "а б")] and abs(rows[0].score - 1 / 12) < 1e-12
+    more = uni.unionByName(spark.createDataFrame([("в", 1000)], "word string, n int"))
+    assert SP.context(texts, "id", "t", more, none).count() == 0
+    assert SP.context(texts, "id", "t", uni.where("n < 0"), none).count() == 0
+
+
+def test_related_words(spark):
+    words = [("стена",), ("стенка",), ("стенд",), ("стен",), ("стенать",), ("дом",), ("домик",), ("стена",)]
+    d = spark.createDataFrame(words, "word string")
+    got = {(r.word, r.rank): r.related for r in SP.related_words(d.distinct(), d, 2).collect()}
+    assert got == {(w, k): r for w in ("стена", "стенка", "стенд", "стен", "стенать") for k, r in enumerate([x for x in ("стен", "стена", "стенд") if x != w][:2], 1)}
 
 
 def test_as_of(spark):
@@ -159,19 +168,17 @@ def test_verses_full(spark, tmp_path):
             elif line:
                 held.setdefault(at, []).append(line)
         want |= {(k, *a, " ".join(x)) for a, x in held.items()}
-    got = [tuple(r) for r in LQ.QUERIES["G11_parse_verses_full"](spark, d).select("pair_id", "chapter", "verse", "text").collect()]
+    got = [tuple(r) for r in LQ.QUERIES["G11_parse_verses"](spark, d).select("pair_id", "chapter", "verse", "text").collect()]
     assert set(got) == want and len(got) == len(want) == 9
 
 
-def test_unseen_bigrams_full(spark, tmp_path):
+def test_unseen_bigrams(spark, tmp_path):
     rng = random.Random(8)
     rows = [(k, " ".join(rng.choice(["дом", "лес", "река", "гора", "поле", "снег", "ветер", "дождь"]) for _ in range(rng.randint(1, 5)))) for k in range(40)] + [(90, None), (91, "")]
     d = write_tables(spark, tmp_path, parallel_ing_rus=(rows, "pair_id bigint, ing string"))
     n = Counter(b for _, t in rows if t for b in zip(t.split(), t.split()[1:]))
-    got = [tuple(r) for r in RQ.QUERIES["J18_unseen_bigrams_full"](spark, d).select("w1", "w2").collect()]
+    got = [tuple(r) for r in RQ.QUERIES["J18_unseen_bigrams"](spark, d).select("w1", "w2").collect()]
     assert len(got) == len(set(got)) > 5 and set(got) == {b for b, c in n.items() if c == 1}
-    cut = {tuple(r) for r in RQ.QUERIES["J18_unseen_bigrams"](spark, d).select("w1", "w2").collect()}
-    assert cut < set(got)
 
 
 def test_resplit(spark, tmp_path):
@@ -284,5 +291,6 @@ def test_sinks(spark, tmp_path):
 def test_prepare_needs_enough(spark):
     from lexloom.plans.lexicon_queries import prepare
 
-    with pytest.raises(ValueError):
-        prepare(spark.createDataFrame([(1, "a", "b")], "pair_id int, ing string, rus string"), "pair_id", 42, 5, 5)
+    made = prepare(spark.createDataFrame([(1, "a", "b")], "pair_id int, ing string, rus string"), "pair_id", 42, 5, 5)
+    with pytest.raises(Exception, match="at least 200 pairs"):
+        made.collect()
