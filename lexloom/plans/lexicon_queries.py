@@ -333,22 +333,49 @@ def c12(spark, d):
     return R.merged(Q.translations(spark, d), new, ["word"]).where(valid).select("word", "translation")
 
 
-@C.add("C13_clean_translations", f"select verdict, reason, count(*) as n from ({Q.TRIAGE_SQL}) group by verdict, reason")
+@C.add("C13_clean_translations", f"select word, translation from ({Q.TRIAGE_SQL}) where verdict <> 'bad'")
 def c13(spark, d):
+    """The cleaned dictionary: good entries, forms with the meaning of their base, and suspects."""
+    return cleaned_dictionary(Q.triage_input(spark, d), Q.translations(spark, d))
+
+
+def cleaned_dictionary(pairs, known, labels=None):
+    """(word, translation); suspects stay unless ``labels`` (word, label) of a reviewer has another label than G for them."""
+    t = Q.triage(pairs, known)
+    label = F.lit("G")
+    if labels is not None:
+        t = t.join(labels.select("word", "label"), "word", "left")
+        label = F.coalesce("label", F.lit("G"))
+    return t.where((F.col("verdict") == "good") | (F.col("verdict") == "suspect") & (label == "G")).select("word", "translation")
+
+
+@C.add("C13_verdict_counts", f"select verdict, reason, count(*) as n from ({Q.TRIAGE_SQL}) group by verdict, reason")
+def c13_counts(spark, d):
     return Q.triage(Q.triage_input(spark, d), Q.translations(spark, d)).groupBy("verdict", "reason").agg(F.count("*").alias("n"))
 
 
+def _split(t, *more):
+    return t.select("pair_id", "ing", "rus", *more, W.sentences_kept(F.col("ing")).alias("a"), W.sentences_kept(F.col("rus")).alias("b"))
+
+
 @C.add("C14_align_documents")
 def c14(spark, d):
-    return AL.align_vectors(_sides(spark, d), "doc", "side", "idx", "embedding", threshold=0.25, policy="quarter").groupBy("doc").agg(F.count("*").alias("n"))
+    """(pair_id, ing, rus, score): sentences of both sides, made vectors and aligned in a band."""
+    t = table(spark, d, PAR).where("ing is not null and rus is not null")
+    return AL.align_texts(_split(t), "pair_id", "a", "b", threshold=0.35, policy="quarter").withColumn("score", F.round("score", 5))
+
 
+_LONG_ENOUGH = "length(ing) > 20 and length(rus) > 20"
 
-@C.add("C15_whole_or_aligned", f"select pair_id, case when pair_type = 'poem' or least(a, b) < 4 then (case when length(ing) > 20 and length(rus) > 20 then 'whole' else 'skip' end) else 'align' end as verdict from (select pair_id, pair_type, ing, rus, len(string_split(ing, '.')) - 1 a, len(string_split(rus, '.')) - 1 b from {PAR} where ing is not null and rus is not null)")
+
+@C.add("C15_whole_or_aligned")
 def c15(spark, d):
+    """(pair_id, ing, rus, kind): poems and texts of less than four sentences whole, a side of one sentence whole, others aligned."""
     t = table(spark, d, PAR).where("ing is not null and rus is not null")
-    n = F.least(F.size(F.split("ing", "\\.")), F.size(F.split("rus", "\\."))) - 1
-    whole = F.when((F.length("ing") > 20) & (F.length("rus") > 20), "whole").otherwise("skip")
-    return t.select("pair_id", F.when((F.coalesce("pair_type", F.lit("")) == "poem") | (n < 4), whole).otherwise("align").alias("verdict"))
+    own = _split(t, "pair_type").withColumn("short", (F.coalesce("pair_type", F.lit("")) == "poem") | (F.size("a") < 4))
+    whole = own.where(F.col("short") & F.expr(_LONG_ENOUGH) | ~F.col("short") & (F.size("b") < 2)).select("pair_id", S.strip(F.col("ing")).alias("ing"), S.strip(F.col("rus")).alias("rus"), F.when(F.col("short"), "whole").otherwise("prose").alias("kind"))
+    aligned = AL.align_texts(own.where(~F.col("short") & (F.size("b") >= 2)), "pair_id", "a", "b", threshold=0.35, policy="fifth")
+    return whole.unionByName(aligned.select("pair_id", "ing", "rus", F.lit("sentence").alias("kind")))
 
 
 def titled(c):
@@ -384,6 +411,31 @@ def c18(spark, d):
     return o.groupBy(era.alias("era")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
+_MONTHS = ((0, 1, 3), (1, 4, 6), (2, 7, 12), (5, 0, 99))
+
+
+@C.add("C18_map_view", f"select e.event_id, x.i as era from events e join (values {', '.join(map(str, _MONTHS))}) x(i, a, b) on month(e.ts) between x.a and x.b where e.value is not null and e.event_type in ('view', 'click')")
+def c18_map(spark, d):
+    """Points with a place and a chosen category, under each of the eras that hold them."""
+    v = F.col("value")
+    e = table(spark, d, "events").where(O.on_map(v, v, F.col("event_type"), ["view", "click"], F.month("ts"), 0, 99))
+    return R.in_eras(e.select("event_id", "ts"), F.month("ts"), _MONTHS).select("event_id", "era")
+
+
+@C.add("C18_encyclopedia_view", """
+with s as (select distinct slug from book_catalog where coalesce(contains(lower(title), 'сад'), false) or coalesce(contains(lower(author), 'сад'), false)),
+r as (select slug, mono_id, row_number() over (partition by slug order by mono_id) k, count(*) over (partition by slug) n from s join mono m on m.source = s.slug)
+select s.slug, coalesce(string_agg(mono_id, '|' order by mono_id) filter (where k <= 3), '') as shown, greatest(coalesce(max(n), 0) - 3, 0) as more from s left join r using (slug) group by s.slug""")
+def c18_encyclopedia(spark, d):
+    """Articles found by a word in any of their names, with their first three related records and the number of the others."""
+    found = table(spark, d, "book_catalog").where(O.any_contains([F.col("title"), F.col("author")], "Сад")).select("slug").distinct()
+    related = table(spark, d, "mono").select(F.col("source").alias("slug"), "mono_id")
+    n = related.groupBy("slug").agg(F.count("*").alias("n"))
+    first = R.top_per_key(related.join(found, "slug", "left_semi"), ["slug"], 3, "mono_id").groupBy("slug").agg(F.array_join(F.array_sort(F.collect_list("mono_id")), "|").alias("shown"))
+    out = found.join(first, "slug", "left").join(n, "slug", "left")
+    return out.select("slug", F.coalesce("shown", F.lit("")).alias("shown"), F.greatest(F.coalesce("n", F.lit(0)) - 3, F.lit(0)).cast("bigint").alias("more"))
+
+
 _TOKEN = "([\\p{L}\\p{M}\\p{N}]+(?:-[\\p{L}\\p{M}\\p{N}]+)*|[^\\s\\p{Z}])"
 
 

@@ -294,3 +294,27 @@ def test_prepare_needs_enough(spark):
     made = prepare(spark.createDataFrame([(1, "a", "b")], "pair_id int, ing string, rus string"), "pair_id", 42, 5, 5)
     with pytest.raises(Exception, match="at least 200 pairs"):
         made.collect()
+
+
+def test_align_texts(spark):
+    a = ["Старый мастер построил дом.", "Весёлый сосед купил лодку.", "Вечером пошёл снег."]
+    docs = spark.createDataFrame([(1, a, a), (2, a, [a[0], a[2]]), (3, [], a), (4, None, a)], "id int, a array<string>, b array<string>")
+    got = {(r.id, r.ing, r.rus) for r in AL.align_texts(docs, "id", "a", "b").collect()}
+    assert got == {(1, x, x) for x in a} | {(2, a[0], a[0]), (2, a[2], a[2])}
+
+
+def test_whole_or_aligned(spark, tmp_path):
+    one = "Старый мастер построил большой дом у реки."
+    four = " ".join(f"{x} мастер построил большой дом у реки." for x in ("Старый", "Новый", "Добрый", "Сильный"))
+    rows = [(1, four, four, "poem"), (2, one, one, "prose"), (3, four, four, "prose"), (4, four, one, None), (5, "мало", "мало", "prose"), (6, None, one, "prose")]
+    d = write_tables(spark, tmp_path, parallel_ing_rus=(rows, "pair_id bigint, ing string, rus string, pair_type string"))
+    got = [tuple(r) for r in LQ.QUERIES["C15_whole_or_aligned"](spark, d).select("pair_id", "kind").collect()]
+    assert sorted(got) == [(1, "whole"), (2, "whole"), *[(3, "sentence")] * 4, (4, "prose")]
+
+
+def test_cleaned_dictionary(spark):
+    pairs = spark.createDataFrame([("а", "один два три четыре пять шесть"), ("б", "дом"), ("в", "в"), ("г", "семь два три четыре пять шесть")], "word string, translation string")
+    known = spark.createDataFrame([("б", "дом")], "word string, translation string")
+    assert {r.word for r in LQ.cleaned_dictionary(pairs, known).collect()} == {"а", "б", "г"}
+    labels = spark.createDataFrame([("а", "B"), ("б", "B")], "word string, label string")
+    assert {r.word for r in LQ.cleaned_dictionary(pairs, known, labels).collect()} == {"б", "г"}
