@@ -7,10 +7,14 @@ years and lists how much of a sentence stands before).  The cheapest path gives
 sentences.  Blank lines and headings end a sentence in any case.
 
 Spaceless script: the text is cut into words by the cheapest path through a lattice of
-dictionary words (a unigram dictionary counted over the corpus itself), then the gaps
-between words are classified: a terminator ends a sentence outside quotations; where
-there is none, a gap does if a final particle or verb suffix stands before it and an
-opening word, as counted at the starts of sentences, behind it.
+dictionary words (a unigram dictionary counted over the corpus itself), then every gap
+between words is classified by its odds: how much more often than anywhere else the word
+before it closes sentences (final particles, verb endings) and the word behind it opens
+them, as counted at the marked ends of the whole corpus, and what a terminator in the gap
+adds.  Inside quotations there are no gaps.
+
+The dictionary that goes to the executors is a model with a bound: the ``HAN_WORDS`` most
+frequent strings of up to four characters, and as many openers and as many finals.
 
 Defined results: null, empty and blank texts have no sentence; text without any
 terminator is one sentence; positions are counted in code points from 1 and the last
@@ -24,7 +28,7 @@ from collections import Counter
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,10 +37,10 @@ from . import common
 TERMINATORS = ".!?…؟۝۔。！？｡"
 OPENING, CLOSING = "«„“‘「『(（[", "»”’」』)）]"
 #: Abbreviations that stand before a name or figure and end no sentence.
-TITLES = frozenset("акад проф др д-р докт им св ред гр тов г-н г-жа инж ул пл пер обл р-н п гл ст рис табл с стр см ср напр т тт хь dr mr mrs ms prof st no vs fig gen col capt rev hon jr sr e.g i.e cf".split())
+TITLES = frozenset(("акад", "проф", "др", "д-р", "докт", "им", "св", "ред", "гр", "тов", "г-н", "г-жа", "инж", "ул", "пл", "пер", "обл", "р-н", "п", "гл", "ст", "рис", "табл", "с", "стр", "см", "ср", "напр", "т", "тт", "хь", "dr", "mr", "mrs", "ms", "prof", "st", "no", "vs", "fig", "gen", "col", "capt", "rev", "hon", "jr", "sr", "e.g", "i.e", "cf"))
 #: Abbreviations of years and centuries, and the ones that close an enumeration.
-YEARS = frozenset("г гг ш в вв".split())
-ENDING = frozenset("д п др пр etc".split())
+YEARS = frozenset(("г", "гг", "ш", "в", "вв"))
+ENDING = frozenset(("д", "п", "др", "пр", "etc"))
 _ETC = regex.compile(r"(?:\bи\s+(?:кх|т)\.\s*[дп]\.|\bи\s+(?:др|пр)\.|\betc\.)$")
 _RUN = regex.compile(rf"[{TERMINATORS}]+")
 _BEFORE = regex.compile(r"[\w\-.]+$")
@@ -45,6 +49,9 @@ _HAN = regex.compile(r"[一-鿿㐀-䶿]")
 _PARAGRAPH = regex.compile(r"\n[ \t\r\xa0]*(?:\n[ \t\r\xa0]*)+")
 _WORDS = regex.compile(r"\w+")
 FAR = 60.0
+#: Bound of the spaceless dictionary; least count of what is evidence; most that one word tells (nats), and a terminator.
+HAN_WORDS, HAN_MIN, HAN_MOST, HAN_MARK = 20_000, 3, 5.0, 14.0
+FLUSH = 300_000
 
 
 def _caseless(c: str) -> bool:
@@ -128,7 +135,7 @@ def nodes_of(s: str) -> list[Node]:
         mark = s[a:b]
         word = _BEFORE.search(s, max(0, a - 30), a)
         before = word.group() if word else ""
-        if c in ",;:—–-)" and not (c in "—–-" and not closes and gap and j + 1 < n and s[j + 1 : j + 2].isspace() and False):
+        if c in ",;:—–-)":
             continue  # the sentence goes on after a mark
         if closes:
             lower = c.islower() and not _caseless(c)
@@ -197,14 +204,30 @@ def cheapest(s: str, nodes: list[Node], start: int = 0) -> list[int]:
 
 
 class Han:
-    """Words of a spaceless script, from a dictionary counted over the corpus."""
+    """Words of a spaceless script, from a dictionary counted over the corpus, and the odds of the gaps between them."""
 
-    def __init__(self, counts: dict[str, int], openers: dict[str, int], finals: dict[str, int]):
+    def __init__(self, counts: dict[str, int], openers: dict[str, int], finals: dict[str, int], grams: dict[str, int] | None = None):
+        """``counts`` are words; ``grams`` all strings, by which openers and finals are judged."""
         total = sum(counts.values()) or 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.longest = max(map(len, counts), default=1)
         self.unknown = math.log(total + 1) + 4
-        self.openers, self.finals = openers, finals
+        grams = grams or counts
+        places = sum(n for g, n in grams.items() if len(g) == 1) or 1
+        self.opens, self.closes = (self.ratios(x, grams, places) for x in (openers, finals))
+        ends = sum(n for g, n in finals.items() if len(g) == 1)
+        self.prior = math.log((ends + 0.5) / places)
+
+    @staticmethod
+    def ratios(edge: dict[str, int], grams: dict[str, int], places: int) -> dict[str, float]:
+        """Log of how much more often than anywhere a string stands at an edge of sentences."""
+        edges = sum(n for g, n in edge.items() if len(g) == 1) or 1
+        out = {}
+        for g, n in grams.items():
+            expected = n * edges / places
+            value = math.log((edge.get(g, 0) + 0.5) / (expected + 0.5))
+            out[g] = max(-HAN_MOST, min(HAN_MOST, value))
+        return out
 
     def words(self, s: str) -> list[str]:
         """The cheapest path through the word lattice."""
@@ -224,18 +247,31 @@ class Han:
             k = link[k]
         return out[::-1]
 
-    def gaps(self, s: str) -> list[int]:
-        """Ends of sentences inside a run of words that no mark divides."""
-        words = self.words(s)
-        out, at, since = [], 0, 0
-        for w, nxt in zip(words, words[1:]):
-            at += len(w)
-            since += 1
-            # the word behind opens sentences far more often than chance, the one before closes them, and a whole clause lies between
-            if since >= 4 and self.openers.get(nxt, 0) >= 5 and self.finals.get(w, 0) >= 5 and at > 5:
-                out.append(at)
-                since = 0
-        return out
+    def odds(self, before: str, behind: str, marked: bool = False) -> float:
+        """Log odds that a sentence ends between two words; an unknown word tells nothing."""
+        return self.prior + self.closes.get(before, 0.0) + self.opens.get(behind, 0.0) + (HAN_MARK if marked else 0.0)
+
+    def ends(self, s: str, marked: list[int]) -> tuple[set[int], set[int]]:
+        """(ends of sentences in the unmarked gaps of ``s``, those of the ``marked`` places that are none)."""
+        found: set[int] = set()
+        words, places = [], []
+        for m in _HAN_RUN.finditer(s):
+            at = m.start()
+            for w in self.words(m.group()):
+                words.append(w)
+                places.append((at, at + len(w)))
+                at += len(w)
+        refused = set()
+        for k in range(len(words) - 1):
+            a, b = places[k][1], places[k + 1][0]
+            if a == b:
+                if self.odds(words[k], words[k + 1]) > 0:
+                    found.add(a)
+                continue
+            for e in marked:
+                if a < e <= b and self.odds(words[k], words[k + 1], True) <= 0:
+                    refused.add(e)
+        return found, refused
 
 
 _HAN_RUN = regex.compile(r"[一-鿿㐀-䶿]+")
@@ -259,9 +295,8 @@ def boundaries(text: str, han: Han | None = None) -> list[int]:
                     ends.append(opening.end(1))
             if han is not None and _HAN.search(part):
                 spans = quoted(part)
-                for m in _HAN_RUN.finditer(part):
-                    if len(m.group()) > 12 and not any(x < m.start() < y for x, y in spans):
-                        ends += [m.start() + g for g in han.gaps(m.group())]
+                found, refused = han.ends(part, ends)
+                ends = [e for e in ends if e not in refused] + [e for e in found if not any(x < e <= y for x, y in spans)]
             size = len(part.rstrip())
             ends = sorted({e for e in ends if e < size and part[:e].strip()} | {size})
             out += [start + e for e in ends]
@@ -269,27 +304,36 @@ def boundaries(text: str, han: Han | None = None) -> list[int]:
     return out
 
 
-def han_lexicon(df: DataFrame, text_col: str) -> tuple[dict, dict, dict]:
-    """Counts of the words (up to four characters) of spaceless text, of openers and of finals.
+def han_lexicon(df: DataFrame, text_col: str) -> tuple[dict, dict, dict, dict]:
+    """Counts of the words of spaceless text, of openers, of finals, and of all strings of up to four characters.
 
-    Candidates come from all rows; the 20,000 most frequent are kept.
+    Counted over all rows; the HAN_WORDS most frequent of each kind are kept.
     """
 
     def run(batches):
         grams: Counter = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["g", "n"])
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 for m in regex.finditer(r"[一-鿿]+", t):
                     s = m.group()
                     for k in (1, 2, 3, 4):
                         grams.update(["w" + s[i : i + k] for i in range(len(s) - k + 1)])
-                for m in regex.finditer(rf"(?:^|[{TERMINATORS}”\n]\s*|“)([一-鿿]{{1,3}})", t):
+                for m in regex.finditer(rf"(?:^|[{TERMINATORS}”\n]\s*|“)([一-鿿]{{1,4}})", t):
                     grams.update(["o" + m.group(1)[:k] for k in range(1, len(m.group(1)) + 1)])
                 for m in regex.finditer(rf"([一-鿿]{{1,4}})[{TERMINATORS}]", t):
                     grams.update(["f" + m.group(1)[-k:] for k in range(1, len(m.group(1)) + 1)])
-        yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["g", "n"])
-
-    rows = df.select(F.col(text_col).alias("t")).where(F.col("t").rlike("[一-鿿]")).mapInArrow(run, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "g").limit(20_000).collect()
+                if len(grams) > FLUSH:
+                    yield out()
+                    grams.clear()
+        yield out()
+
+    sums = df.select(F.col(text_col).alias("t")).where(F.col("t").rlike("[一-鿿]")).mapInArrow(run, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= HAN_MIN)
+    kind = Window.partitionBy(F.substring("g", 1, 1)).orderBy(F.desc("n"), "g")  # a limit for each of the three kinds, applied before the shuffle
+    rows = sums.withColumn("k", F.row_number().over(kind)).where(F.col("k") <= HAN_WORDS).select("g", "n").collect()  # at most 3 x HAN_WORDS
     tables: dict[str, dict] = {"w": {}, "o": {}, "f": {}}
     for r in rows:
         tables[r.g[0]][r.g[1:]] = r.n
@@ -302,7 +346,7 @@ def han_lexicon(df: DataFrame, text_col: str) -> tuple[dict, dict, dict]:
             kept[g] = n
         elif n / single > 4 * max((grams.get(g[:k], 1) / single) * (grams.get(g[k:], 1) / single) for k in range(1, len(g))):
             kept[g] = n
-    return kept, tables["o"], tables["f"]
+    return kept, tables["o"], tables["f"], grams
 
 
 def segment(df: DataFrame, key_cols: list[str], text_col: str, lexicon=None) -> DataFrame:

@@ -161,11 +161,27 @@ def test_boundary_layout():
     assert len(P2.boundaries("Он ушёл. " * 20000)) == 20000
 
 
-def test_unmarked_han():
-    words = {"昨天": 50, "今天": 50, "老师": 60, "农夫": 60, "打开": 40, "了": 200, "塔": 50, "书": 50}
-    han = P2.Han(words, {"昨天": 50, "今天": 50}, {"塔": 20, "书": 20})
-    assert han.words("昨天老师打开了塔") == ["昨天", "老师", "打开", "了", "塔"]
-    assert cut("昨天老师打开了塔今天农夫打开了书", han) == ["昨天老师打开了塔", "今天农夫打开了书"]
+def han_sentence(rng):
+    return rng.choice(["昨天", "今天", "后来", "有一次"]) + rng.choice(["老师", "农夫", "邻居", "老人"]) + rng.choice(["打开", "画", "修好", "找到"]) + "了" + rng.choice(["古老的", "白色的", "小的"]) + rng.choice(["石墙", "铜灯", "花园", "山路"])
+
+
+def test_unmarked_han(spark):
+    rng = random.Random(9)
+    rows = [(k, "".join(han_sentence(rng) + rng.choice("。！？") for _ in range(rng.randint(1, 4)))) for k in range(200)] + [(900, None), (901, ""), (902, "текст")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    han = P2.Han(*P2.han_lexicon(df, "t"))
+    assert "".join(han.words("昨天老师打开了白色的石墙")) == "昨天老师打开了白色的石墙" and len(han.words("昨天老师打开了白色的石墙")) < 12
+    for _ in range(40):
+        own = [han_sentence(rng) for _ in range(rng.randint(2, 4))]
+        flat = "".join(own)
+        assert cut(flat, han) == own and cut(flat) == [flat]
+        assert cut("“" + flat + "”老人说。" + own[0] + "。", han)[-1] == own[0] + "。"
+    # marked ends stay where they are, and texts of other scripts as they were
+    marked = "昨天老师画了小的铜灯。今天农夫找到了石墙？"
+    assert cut(marked, han) == cut(marked) == ["昨天老师画了小的铜灯。", "今天农夫找到了石墙？"]
+    assert cut("Он пришёл. Ушёл.", han) == ["Он пришёл.", "Ушёл."]
+    none = P2.Han(*P2.han_lexicon(df.where("k > 899"), "t"))
+    assert cut("昨天老师画了灯", none) == ["昨天老师画了灯"]
 
 
 def test_segment_frame(spark):
