@@ -285,12 +285,60 @@ def test_encoding_frame(spark):
 # ---- problem 7
 
 
+def dense(s):
+    """Masses by the plain scaling of the whole table with its null sentences."""
+    n, m = s.shape
+    kernel = np.exp(-np.block([[1 - s, np.full((n, 1), P7.NULL_COST)], [np.full((1, m), P7.NULL_COST), np.zeros((1, 1))]]) / P7.EPSILON)
+    r, c, v = np.append(np.ones(n), m), np.append(np.ones(m), n), np.ones(m + 1)
+    for _ in range(5000):
+        u = r / (kernel @ v)
+        v = c / (kernel.T @ u)
+    return (u[:, None] * kernel * v)[:n, :m]
+
+
+def sparse(s):
+    i, j = np.nonzero(s > P7.FAINT)
+    out = np.zeros(s.shape)
+    out[i, j] = P7.transport(i, j, s[i, j], *s.shape)
+    return out
+
+
 def test_transport():
     s = np.array([[0.9, 0.1, 0.0], [0.0, 0.8, 0.0]])
-    m = P7.transport(s)
+    m = sparse(s)
     assert m[0, 0] > 0.9 and m[1, 1] > 0.9 and m[:, 2].max() < 0.05
-    merged = P7.transport(np.array([[0.7, 0.7]]))
-    assert merged.sum() <= 1.0 + 1e-6
+    assert sparse(np.array([[0.7, 0.7]])).sum() <= 1.0 + 1e-3
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        s = rng.random(rng.integers(1, 9, 2)) ** 3
+        assert np.abs(sparse(s) - dense(s)).max() < 0.02
+
+
+def test_cosines_brute_force():
+    rng = random.Random(4)
+    a, b = ([{rng.choice("abcdefgh"): rng.random() + 0.1 for _ in range(rng.randint(0, 4))} for _ in range(12)] for _ in range(2))
+    got = dict(zip(zip(*(map(int, x) for x in P7.cosines(a, b)[:2])), P7.cosines(a, b)[2]))
+    for i, u in enumerate(a):
+        for j, v in enumerate(b):
+            c = sum(x * v.get(k, 0) for k, x in u.items()) / ((sum(x * x for x in u.values()) * sum(x * x for x in v.values())) ** 0.5 or 1)
+            assert ((i, j) in got) == (c > P7.FAINT) and abs(got.get((i, j), c) - c) < 1e-9
+
+
+def test_long_pairs(spark):
+    # a book of many lines needs no table of all pairs of lines, and the dictionary comes in any order
+    rng = random.Random(7)
+    words = ["сл" + "".join(rng.choice("абвгдежз") for _ in range(4)) for _ in range(3000)]
+    entries = [(w, "пер" + w[2:]) for w in words]
+    pairs = spark.createDataFrame([(k, " ".join(words[k : k + 5]), " ".join("пер" + w[2:] for w in words[k : k + 5])) for k in range(40)] + [(99, "слово " * 400, "перевод " * 300)], "i int, a string, b string")
+    lexica = [P7.learn(pairs, spark.createDataFrame(e, "word string, translation string"), "i", "a", "b") for e in (entries, entries[::-1])]
+    assert lexica[0].of == lexica[1].of and "слово" in lexica[0].of
+    assert len(P7.pieces(["а"] * 400, ["б"] * 300)) == 7 and sum(len(x) for x, _ in P7.pieces(["а"] * 400, ["б"] * 300)) == 400
+    lines = [rng.sample(words, 6) for _ in range(3000)]
+    order = sorted(range(3000), key=lambda k: k + rng.randint(-3, 3))
+    links = P7.align("\n".join(" ".join(x) for x in lines), "\n".join(" ".join("пер" + w[2:] for w in lines[k]) for k in order), lexica[0])
+    right = {(k + 1, j + 1) for j, k in enumerate(order)}
+    found = {(i, j) for i, j, _ in links}
+    assert len(found & right) > 2900 and len(found - right) < 150
 
 
 def test_alignment():
