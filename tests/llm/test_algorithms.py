@@ -94,6 +94,48 @@ def test_near_brute_force(spark):
     assert P4.near_pairs(df.where("pair_id < 0")).count() == 0
 
 
+def test_long_records_meet():
+    # sets of all sizes, similar ones of different classes too, have a key in common, and no more keys than some a word
+    rng = np.random.default_rng(11)
+    df = rng.integers(1, 400, P4.BUCKETS)
+    universe = rng.integers(0, 1 << 47, 20_000)
+    for size in (20, 71, 90, 119, 121, 150, 239, 241, 400, 700, 1000, 2000):
+        for ratio in (0.62, 0.8, 1.0):
+            shared = int(np.ceil(0.6 / 1.6 * (size + max(20, int(ratio * size)))))
+            b = max(20, int(ratio * size), shared)
+            words = rng.permutation(universe)
+            x, y = words[:size], np.concatenate((words[:shared], words[size : size + b - shared]))
+            if len(np.intersect1d(x, y)) < 0.6 * len(np.union1d(x, y)):
+                continue
+            for n in (1000, 40_000):  # few rare words, and many
+                kx, ky = (P4.block_keys(np.sort(z), df, n, 0.6, 20) for z in (x, y))
+                assert set(kx) & set(ky)
+                if size > 300:
+                    assert len(kx) < 15 * size
+
+
+def test_long_and_hot_brute_force(spark):
+    # very long texts, and a passage that every other record begins with
+    rng = random.Random(12)
+    vocab = ["сл" + "".join(rng.choice("абвгдежзик") for _ in range(6)) for _ in range(9000)]
+    start = " ".join(vocab[:15])
+    rows = []
+    for k in range(60):
+        if k % 6 == 5:
+            a = rows[-5][1].split()
+            for _ in range(len(a) // 6):
+                a[rng.randrange(len(a))] = rng.choice(vocab)
+            rows.append((k, " ".join(a), rows[-5][2]))
+        else:
+            own = " ".join(rng.sample(vocab, rng.choice([25, 60, 300, 2000])))
+            rows.append((k, start + " " + own if k % 2 else own, " ".join(rng.sample(vocab, 30))))
+    df = spark.createDataFrame(rows, "pair_id bigint, ing string, rus string")
+    sets = {p: (set(common.words(a)), set(common.words(b))) for p, a, b in rows}
+    want = {(p, q) for p in sets for q in sets if p < q and all(len(x & y) >= 0.6 * len(x | y) for x, y in zip(sets[p], sets[q]))}
+    got = [(r.pair_id_a, r.pair_id_b) for r in P4.near_pairs(df).collect()]
+    assert len(want) >= 8 and set(got) == want and len(got) == len(want)
+
+
 def test_fingerprint_bound():
     rng = np.random.default_rng(4)
     for _ in range(200):
