@@ -35,6 +35,8 @@ AGREED = 0.8
 #: Least autocorrelation of indents, and of line lengths that alternate (negative).
 PERIODIC, ALTERNATING = 0.8, -0.5
 MAX_PERIOD = 12
+_CUTS = {d: regex.compile(regex.escape(d)) for d in DELIMITERS}
+_FIGURES = regex.compile(r"[-—–]+|[\d.,%:/ +-]+")
 _GAP = regex.compile(r" {2,}")
 _INSIDE = regex.compile(r"\S {2,}\S")
 _BULLET = regex.compile(r"^\s*(?:[-•*–—·▪◦‣+]|\(?\d{1,4}[.)]|\p{L}[.)])\s+")
@@ -75,7 +77,7 @@ def agreement(lines: list[str], delimiter: str) -> float:
         if delimiter == "  ":
             cuts = [m.span() for m in _GAP.finditer(x.rstrip()) if m.start()]
         else:
-            cuts = [m.span() for m in regex.finditer(regex.escape(delimiter), x)]
+            cuts = [m.span() for m in _CUTS[delimiter].finditer(x)]
         spans.append(cuts)
     columns = min(map(len, spans), default=0)
     if not columns:
@@ -147,7 +149,7 @@ def table_score(lines: list[str]) -> tuple[float, int, float]:
         laid = agreed >= AGREED and len(same) >= 4 and d not in ";,"
         if words > 3.2 and not (laid and d in "|│"):
             continue
-        numeric = sum(1 for c in cells if c and (c == "-" or regex.fullmatch(r"[-—–]+|[\d.,%:/ +-]+", c))) / len(cells)
+        numeric = sum(1 for c in cells if c and (c == "-" or _FIGURES.fullmatch(c))) / len(cells)
         if d == "," and columns < 3 and numeric < 0.2:
             continue
         if d == "  " and numeric < 0.15 and not laid:
@@ -199,7 +201,7 @@ def entry(line: str, words: int) -> bool:
     if words > 9:
         return False
     if _BULLET.match(s) and words <= 9:
-        return not regex.search(r"[.!?…]$", s) or words <= 5
+        return not s[-1] in ".!?…" or words <= 5
     if _PAIR.match(s) and words <= 9:
         return True
     return words <= 3 and s[-1] not in ".!?…"

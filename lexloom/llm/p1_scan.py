@@ -69,6 +69,7 @@ _FURNITURE = (
     regex.compile(rf"^\p{{L}}\.\s?\p{{L}}[\p{{L}}\p{{N}}]+\..{{2,60}}\s{_NUMBER}$"),  # author, title, page
     regex.compile(rf"^.{{2,70}}[^\s\d.,]\s{{3,}}{_NUMBER}$|^{_NUMBER}\s{{3,}}[^\s\d].{{2,70}}$"),
 )
+_AT_EDGE = regex.compile(rf"^{_NUMBER}\s|\s{_NUMBER}$")
 _CAPITALS = regex.compile(r"^[\p{Lu}\p{N}\p{P}\p{Zs}ӀӏI1|+<>=]+$")
 
 
@@ -89,7 +90,7 @@ def is_furniture(line: str) -> bool:
         return True
     letters = sum(c.isalpha() for c in s)
     if letters >= 3 and _CAPITALS.match(s):
-        if regex.search(rf"^{_NUMBER}\s|\s{_NUMBER}$", s):
+        if _AT_EDGE.search(s):
             return True
         return len(s.split()) <= 6 and s[-1] not in ".!?…,:;»"
     return False

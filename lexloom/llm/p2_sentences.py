@@ -48,6 +48,10 @@ _YEAR = regex.compile(r"\d+\s*(?:[-–]\s*\d+\s*)?\w{1,2}$")
 _HAN = regex.compile(r"[一-鿿㐀-䶿]")
 _PARAGRAPH = regex.compile(r"\n[ \t\r\xa0]*(?:\n[ \t\r\xa0]*)+")
 _WORDS = regex.compile(r"\w+")
+_QUOTE = regex.compile(r"[«»„“”\"「」『』]")
+_FOUR = regex.compile(r"\d{4}\b")
+_DOTTED = regex.compile(r"(?:\w\.)+\w")
+_FIRST_LINE = regex.compile(r"\s*([^\n]*\S)[^\S\n]*\n\s*(\S)")
 FAR = 60.0
 #: Bound of the spaceless dictionary; least count of what is evidence; most that one word tells (nats), and a terminator.
 HAN_WORDS, HAN_MIN, HAN_MOST, HAN_MARK = 20_000, 3, 5.0, 14.0
@@ -61,7 +65,7 @@ def _caseless(c: str) -> bool:
 def quoted(s: str) -> list[tuple[int, int]]:
     """Spans of closed quotations; a quote that is never closed in the paragraph opens none."""
     spans, stack, straight = [], [], None
-    for m in regex.finditer(r"[«»„“”\"「」『』]", s):
+    for m in _QUOTE.finditer(s):
         c, i = m.group(), m.start()
         if c == '"':
             before = s[i - 1] if i else " "
@@ -147,7 +151,7 @@ def nodes_of(s: str) -> list[Node]:
             low = before.lower()
             if not gap and c.isalnum():
                 # run together: only a small letter or figure before and a capital or year behind
-                if len(before) > 2 and "." not in before and before[-1].islower() and (c.isupper() or regex.match(r"\d{4}\b", s[j : j + 5])):
+                if len(before) > 2 and "." not in before and before[-1].islower() and (c.isupper() or _FOUR.match(s, j, j + 5)):
                     found.append(Node(e, 0.0, 6.0))
                 continue
             if len(before.rsplit(".", 1)[-1]) == 1 and before[-1:].isupper():
@@ -160,7 +164,7 @@ def nodes_of(s: str) -> list[Node]:
             if low in YEARS and _YEAR.search(s, max(0, a - 16), a):
                 found.append(Node(e, 0.0, 6.0, 12.0))
                 continue
-            if low in TITLES or "." in low and low.rsplit(".", 1)[-1] in TITLES or "." in low and regex.fullmatch(r"(?:\w\.)+\w", low):
+            if low in TITLES or "." in low and low.rsplit(".", 1)[-1] in TITLES or "." in low and _DOTTED.fullmatch(low):
                 continue
             if before.isdigit():
                 found.append(Node(e, 0.0, 6.0, 12.0))
@@ -287,7 +291,7 @@ def boundaries(text: str, han: Han | None = None) -> list[int]:
         if part.strip():
             ends = cheapest(part, nodes_of(part))
             # a heading on its own line: only the first line of a paragraph can be one
-            opening = regex.match(r"\s*([^\n]*\S)[^\S\n]*\n\s*(\S)", part)
+            opening = _FIRST_LINE.match(part)
             if opening:
                 line, follows = opening.group(1), opening.group(2)
                 capitals = line.upper() == line and any(c.isalpha() for c in line) and len(line) > 3
