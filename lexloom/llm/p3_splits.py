@@ -66,10 +66,12 @@ def groups(rows: DataFrame, id_col: str = "pair_id", source_col: str = "source",
     else:
         raise RuntimeError("labels still change; raise MAX_ROUNDS")
     labels = nodes.select("s", "l")
-    text_labels = texts.where("p is not null").join(labels.withColumnRenamed("s", "s0"), "s0", "left").select("e", F.coalesce("l", "p").alias("l"))
+    text_labels = texts.where("s0 is not null").join(labels.withColumnRenamed("s", "s0"), "s0").select("e", "p", "l").unionByName(texts.where("s0 is null").select("e", "p", F.col("p").alias("l"))).select("e", F.coalesce("l", "p").alias("l"))
     with_source = base.where("s is not null").select("p", "s").join(labels, "s").select("p", "l")
-    without = base.where("s is null").select("p", "e").join(text_labels, "e", "left").select("p", F.coalesce("l", "p").alias("l"))
-    return with_source.unionByName(without).groupBy("p").agg(F.min("l").alias("group_id")).select(F.col("p").alias(id_col), "group_id")
+    # every text that is not null has a label; rows without any key need no join, where they would meet in one task
+    without = base.where("s is null and e is not null").select("p", "e").join(text_labels, "e").select("p", "l")
+    alone = base.where("s is null and e is null").select("p", F.col("p").alias("l"))
+    return with_source.unionByName(without).unionByName(alone).groupBy("p").agg(F.min("l").alias("group_id")).select(F.col("p").alias(id_col), "group_id")
 
 
 def assign(counts: DataFrame, proportions=SPLITS) -> DataFrame:

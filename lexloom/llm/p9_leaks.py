@@ -24,6 +24,8 @@ from . import common
 MIN_WORDS = 10
 #: Items are sent to the executors in blocks of this many bytes of text; more items mean more passes.
 ITEM_BLOCK_BYTES = 16 << 20
+#: Hits that are looked at together.
+SLICE = 1 << 20
 FOLD = common.PALOCHKA_FOLD | {ord("ё"): "е"}
 _LETTERS = common.WORD.findall
 
@@ -115,24 +117,44 @@ def leaks_in(texts: list, items: Items, m: int) -> tuple[np.ndarray, np.ndarray,
     word = np.concatenate(starts)
     order = suffix_array(seq, m)
     lo, hi = search(seq, order, items, m)
-    hits = hi - lo
-    q = np.repeat(items.suffixes, hits)
-    at = order[np.repeat(lo - np.concatenate([[0], np.cumsum(hits)[:-1]]), hits) + np.arange(hits.sum())]
-    size = np.full(len(q), m, dtype=np.int64)
-    grow = np.arange(len(q))
-    a = np.concatenate([seq, [0]])
-    b = np.concatenate([items.seq, [0]])
-    while len(grow):
-        x, y = a[np.minimum(at[grow] + size[grow], len(seq))], b[np.minimum(q[grow] + size[grow], len(items.seq))]
-        grow = grow[(x == y) & (x > 0)]
-        size[grow] += 1
-    r, item = row[at], items.owner[q]
-    best = np.lexsort((word[at], -size, item, r))
-    r, item, w, size = r[best], item[best], word[at][best], size[best]
-    keep = np.concatenate([[True], (r[1:] != r[:-1]) | (item[1:] != item[:-1])]) if len(r) else none.astype(bool)
+    upto = np.concatenate([[0], np.cumsum(hi - lo)])
+    a, b = np.concatenate([seq, [0]]), np.concatenate([items.seq, [0]])
+    kept = [(none, none, none, none)]
+    # a passage in every text has as many hits as there are texts, so they are taken in slices of one size
+    for start in range(0, int(upto[-1]), SLICE):
+        hit = np.arange(start, min(start + SLICE, int(upto[-1])))
+        i = np.searchsorted(upto, hit, side="right") - 1
+        q, at = items.suffixes[i], order[lo[i] + hit - upto[i]]
+        size = np.full(len(q), m, dtype=np.int64)
+        grow = np.arange(len(q))
+        while len(grow):
+            x, y = a[np.minimum(at[grow] + size[grow], len(seq))], b[np.minimum(q[grow] + size[grow], len(items.seq))]
+            grow = grow[(x == y) & (x > 0)]
+            size[grow] += 1
+        kept.append(longest(row[at], items.owner[q], word[at], size))
+    return longest(*(np.concatenate(x) for x in zip(*kept)))
+
+
+def longest(r: np.ndarray, item: np.ndarray, w: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The longest match of each row and item, the first of several."""
+    best = np.lexsort((w, -size, item, r))
+    r, item, w, size = r[best], item[best], w[best], size[best]
+    keep = np.ones(len(r), dtype=bool)
+    keep[1:] = (r[1:] != r[:-1]) | (item[1:] != item[:-1])
     return r[keep], item[keep], w[keep], size[keep]
 
 
+_MADE: list = [None, None]
+
+
+def side_of(shared, min_words: int) -> Items:
+    """The items of a broadcast, made once in a Python worker."""
+    key = (shared.value, min_words)
+    if _MADE[0] is None or _MADE[0][0] is not key[0] or _MADE[0][1] != min_words:
+        _MADE[:] = [key, Items(shared.value, min_words)]
+    return _MADE[1]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc, item, first_word, n_words): longest verbatim match, first_word counted from 1.
 
@@ -149,10 +171,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, do
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast([(r.i, r.t) for r in own.toLocalIterator()])
-        made: list[Items] = []
 
-        def run(batches, shared=shared, made=made):
-            side = Items(shared.value, min_words)
+        def run(batches, shared=shared):
+            side = side_of(shared, min_words)
             for b in batches:
                 r, item, w, n = leaks_in(b.column(1).to_pylist(), side, min_words)
                 if len(r):

@@ -423,6 +423,18 @@ def test_leak_words():
     assert P9.item_words("Т1ехьа ТӀЕХЬА тIехьа, ёлка_Елка") == ["тӏехьа"] * 3 + ["елка", "елка"]
 
 
+def test_leaks_in_slices(monkeypatch):
+    # a passage in every text, and runs of one word: the same matches however the hits are cut
+    rng = random.Random(13)
+    words = [f"слово{c}" for c in "абвгд"]
+    items = P9.Items([(k, " ".join(rng.choice(words[: 1 + k]) for _ in range(40))) for k in range(5)], 4)
+    texts = [" ".join(rng.choice(words[: 1 + k % 5]) for _ in range(60)) for k in range(30)] + [None, ""]
+    whole = [x.tolist() for x in P9.leaks_in(texts, items, 4)]
+    monkeypatch.setattr(P9, "SLICE", 37)
+    assert [x.tolist() for x in P9.leaks_in(texts, items, 4)] == whole and len(whole[0]) > 30
+    assert [x.tolist() for x in P9.leaks_in([], items, 4)] == [[], [], [], []]
+
+
 # ---- problem 10
 
 
