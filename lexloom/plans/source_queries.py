@@ -188,14 +188,20 @@ def s21(spark, d):
 # ---- sinks
 
 
-def _written(spark, df, fmt: str, schema: str, mode_rounds: int = 1):
-    """Write to a scratch folder, read back: what a sink leaves."""
-    import tempfile
+def _written(spark, df, name: str, schema: str, mode_rounds: int = 1):
+    """Write to a folder of the session, read back: what a sink leaves.
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-sink-")
-    import uuid
+    The folder lies in the one that the cluster names; only where none is named (tests) it is a temporary one, removed at the end.
+    """
+    import atexit
+    import shutil
+    import tempfile
 
-    path = f"{base}/sink-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = tempfile.mkdtemp(prefix="lexloom-sink-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    path = f"{base}/{spark.sparkContext.applicationId}-{name}"
     for k in range(mode_rounds):
         K.write_jsonl(df, path, append=k > 0)
     return spark.read.schema(schema).json(path)
@@ -203,12 +209,12 @@ def _written(spark, df, fmt: str, schema: str, mode_rounds: int = 1):
 
 @C.add("K01_jsonl_overwrite", "select pair_id, rus from parallel_ing_rus")
 def k01(spark, d):
-    return _written(spark, table(spark, d, PAR).select("pair_id", "rus"), "json", "pair_id bigint, rus string")
+    return _written(spark, table(spark, d, PAR).select("pair_id", "rus"), "K01", "pair_id bigint, rus string")
 
 
 @C.add("K02_jsonl_append", "select slug, status from download_state union all select slug, status from download_state")
 def k02(spark, d):
-    return _written(spark, table(spark, d, "download_state").select("slug", "status"), "json", "slug string, status string", 2)
+    return _written(spark, table(spark, d, "download_state").select("slug", "status"), "K02", "slug string, status string", 2)
 
 
 @C.add("K03_replace_by_source", "select pair_id, source from parallel_ing_rus where source is null or source <> 'dictionary' union all select pair_id + 1000000, source from parallel_ing_rus where source = 'dictionary' and pair_id % 2 = 0")
