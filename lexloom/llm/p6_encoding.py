@@ -226,21 +226,22 @@ class Repairer:
         return total
 
     def tried(self, piece: str) -> list:
-        """(pair number, piece as written, gain) of every pair that decodes; None for plain ASCII."""
+        """(pair number, piece as written) of every pair that decodes; none for plain ASCII."""
         known = self.decoded.get(piece)
         if known is None:
-            known = []
-            if not piece.isascii():
-                now = self.cost(piece)
-                lettered = any(c.isalpha() for c in piece)
-                drawn = all(c in FRAME for c in piece)  # no reason of its own to be decoded
-                for k, was in decodings(piece):
-                    known.append((k, was, 0.0 if drawn else now - self.cost(was) - (12 if lettered and not any(c.isalpha() for c in was) else 0)))
+            known = [] if piece.isascii() else decodings(piece)
             if len(self.decoded) > 100_000:
                 self.decoded.clear()
             self.decoded[piece] = known
         return known
 
+    def gain(self, piece: str, was: str) -> float:
+        """Drop of the cost if a piece was written as ``was``."""
+        if all(c in FRAME for c in piece):
+            return 0.0  # drawn: no reason of its own to be decoded
+        lost = any(map(str.isalpha, piece)) and not any(map(str.isalpha, was))
+        return self.cost(piece) - self.cost(was) - (12 if lost else 0)
+
     def gains(self, piece: str) -> list:
         """(pair number, gain) of the pairs that gain by this piece alone."""
         known = self.gaining.get(piece)
@@ -249,7 +250,7 @@ class Repairer:
             # plain words don't gain
             if not piece.isascii() and not _WORD.fullmatch(piece) and not all(c in FRAME for c in piece):
                 now = self.cost(piece)
-                for k, was in decodings(piece):
+                for k, was in self.tried(piece):
                     cost = self.costs.get(was)
                     if cost is None:
                         plain = _LETTERS.fullmatch(was)
@@ -261,8 +262,8 @@ class Repairer:
             self.gaining[piece] = known
         return known
 
-    def layer(self, pieces: list[str], run: list, start: int, end: int) -> tuple[tuple[float, int, int, int], list]:
-        """Best (gain, pair, first, last) over all pairs and the stretches that end in [start, end), and the open stretches at ``end``.
+    def layer(self, pieces: list[str], alive: set[int], run: list, start: int, end: int) -> tuple[tuple[float, int, int, int], list]:
+        """Best (gain, pair, first, last) over the pairs ``alive`` and the stretches that end in [start, end), and the open stretches at ``end``.
 
         ``run`` are the open ones at ``start``; a piece that a pair can't decode ends its stretch.
         """
@@ -272,7 +273,10 @@ class Repairer:
             if not piece or piece.isascii():
                 continue
             now = [NONE] * len(PAIRS)
-            for k, _, gain in self.tried(piece):
+            for k, was in self.tried(piece):
+                if k not in alive:
+                    continue
+                gain = self.gain(piece, was)
                 total, first = run[k]
                 total, first = (total + gain, first) if total > 0 else (gain, i)
                 if total > 0:
@@ -288,7 +292,7 @@ class Repairer:
         while 0 <= i < len(pieces):
             piece = pieces[i]
             if piece and not piece.isspace():
-                was = None if piece.isascii() or not all(c in FRAME for c in piece) else next((w for p, w, _ in self.tried(piece) if p == k), None)
+                was = None if piece.isascii() or not all(c in FRAME for c in piece) else next((w for p, w in self.tried(piece) if p == k), None)
                 if was is None or not any(c.isalpha() for c in was):
                     break
                 at = i
@@ -302,7 +306,7 @@ class Repairer:
         makes no blanks, so the pieces keep their places; after a replacement only the blocks
         whose open stretches have changed are looked at again.
         """
-        # no stretch gains more than all its pieces that gain by themselves
+        # no stretch gains more than all its pieces that gain by themselves, so most pairs need no search
         most = [0.0] * len(PAIRS)
         for piece in text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" "):
             known = self.gaining.get(piece)
@@ -310,6 +314,7 @@ class Repairer:
                 most[k] += gain
         if max(most) < MIN_GAIN:
             return text, 0.0
+        alive = {k for k, x in enumerate(most) if x >= MIN_GAIN}
         pieces = regex.split(r"([ \n\r\t]+)", text)
         blocks = -(-len(pieces) // BLOCK)
         opened = [[NONE] * len(PAIRS)] + [None] * blocks
@@ -321,7 +326,7 @@ class Repairer:
         low, high = 0, len(pieces) - 1
         while True:
             for n in range(low // BLOCK, blocks):
-                bests[n], run = self.layer(pieces, opened[n], n * BLOCK, min((n + 1) * BLOCK, len(pieces)))
+                bests[n], run = self.layer(pieces, alive, opened[n], n * BLOCK, min((n + 1) * BLOCK, len(pieces)))
                 same = run == opened[n + 1]
                 opened[n + 1] = run
                 if same and (n + 1) * BLOCK > high:
@@ -332,9 +337,16 @@ class Repairer:
             low, high = self.reach(pieces, k, first, -1), self.reach(pieces, k, last, 1)
             for i in range(low, high + 1):
                 if not pieces[i].isascii():
-                    was = next(was for p, was, _ in self.tried(pieces[i]) if p == k)
+                    was = next(was for p, was in self.tried(pieces[i]) if p == k)
                     state ^= hash((i, pieces[i])) ^ hash((i, was))
                     pieces[i] = was
+                    for p, x in self.gains(was):
+                        most[p] += x
+            if any(x >= MIN_GAIN and p not in alive for p, x in enumerate(most)):
+                # a layer below may need another pair, which no piece was tried with
+                alive = {p for p, x in enumerate(most) if x >= MIN_GAIN}
+                low, high = 0, len(pieces) - 1
+                opened[1:], bests = [None] * blocks, [None] * blocks
             gained += gain
             if state in seen:
                 break
