@@ -20,6 +20,7 @@ from lexloom.streaming import buckets as B
 from . import relational_queries as Q
 from .base import Catalogue, lit, s_replace, s_strip, s_sub, table
 from .function_queries import C_MODEL_WORDS, CLASS_SQL, SCORE_SQL
+from .function_queries import SQL as FUNCTION_SQL
 
 C = Catalogue()
 PAR = "parallel_ing_rus"
@@ -187,10 +188,13 @@ def g11(spark, d):
 # ---- composites
 
 
-@C.add("C01_mono_dataset")
+@C.add("C01_mono_dataset", f"""
+select doc_id, n, text, cls as lang, round_even(score, 3) as lang_score, length(text) as chars
+from (select doc_id, n, text, {CLASS_SQL} as cls, {SCORE_SQL} as score from (select doc_id, n, segment as text from ({FUNCTION_SQL['G05_segments']})))
+where cls in ('ing', 'mixed') and score >= 0.05""")
 def c01(spark, d):
     """(doc_id, n, text, lang, lang_score, chars) of the segments in the language or mixed."""
-    s = table(spark, d, "documents").select("doc_id", F.posexplode(W.segments(F.col("text"))).alias("n", "text"))
+    s = table(spark, d, "documents").select("doc_id", F.posexplode(W.segments(F.col("text"))).alias("n", "text")).withColumn("n", F.col("n").cast("bigint"))
     s = s.withColumn("score", W.language_score(F.col("text"))).withColumn("lang", W.classify(F.col("text")))
     return s.where(F.col("lang").isin("ing", "mixed") & (F.col("score") >= P.MIN_SCORE)).select("doc_id", "n", "text", "lang", F.bround("score", 3).alias("lang_score"), F.length("text").alias("chars"))
 
@@ -228,9 +232,19 @@ def c03b(spark, d):
 
 @C.add("C04_rescore", "select vec_id, verdict from (select a.vec_id, case when a.label = 1 then 'verse' when list_inner_product(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.1 then 'kept' else 'removed' end as verdict from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)")
 def c04(spark, d):
+    return rescored(spark, d, 0.1)
+
+
+def rescored(spark, d, threshold: float):
     e = table(spark, d, "embeddings")
     j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("o")), "vec_id")
-    return j.select("vec_id", F.when(F.col("label") == 1, "verse").when(R.dot(F.col("embedding"), F.col("o")) >= 0.1, "kept").otherwise("removed").alias("verdict"))
+    return j.select("vec_id", F.when(F.col("label") == 1, "verse").when(R.dot(F.col("embedding"), F.col("o")) >= threshold, "kept").otherwise("removed").alias("verdict"))
+
+
+@C.add("C04_rescore_default", "select vec_id, verdict from (select a.vec_id, case when a.label = 1 then 'verse' when list_inner_product(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.25 then 'kept' else 'removed' end as verdict from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)")
+def c04_default(spark, d):
+    """With the documented threshold."""
+    return rescored(spark, d, 0.25)
 
 
 @C.add("C05_prepare", f"""
@@ -496,6 +510,13 @@ def r01(spark, d):
     return B.allow(e, "user_id", "t", "event_id", capacity=3.0, rate=0.0005)
 
 
+@C.add("R01_token_bucket_default")
+def r01_default(spark, d):
+    """With the documented capacity and rate."""
+    e = table(spark, d, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"))
+    return B.allow(e, "user_id", "t", "event_id")
+
+
 @C.add("R02_resume", "select slug from (select distinct slug from book_catalog) where slug not in (select slug from download_state where status = 'ok' and slug is not null)")
 def r02(spark, d):
     return B.not_done(table(spark, d, "book_catalog").select("slug").distinct(), table(spark, d, "download_state").where("status = 'ok'"), "slug")

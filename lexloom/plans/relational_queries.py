@@ -123,6 +123,18 @@ def p13(spark, d):
     return table(spark, d, PAR).where(O.ratio_between(F.col("ing"), F.col("rus"), 0.8, 1.1)).select("pair_id")
 
 
+@C.add("P13_length_ratio_default", "select pair_id from parallel_ing_rus where length(ing) / cast(greatest(length(rus), 1) as double) > 0.4 and length(ing) / cast(greatest(length(rus), 1) as double) < 2.5")
+def p13_default(spark, d):
+    """With the documented bounds."""
+    return table(spark, d, PAR).where(O.ratio_between(F.col("ing"), F.col("rus"), 0.4, 2.5)).select("pair_id")
+
+
+@C.add("P14_symmetric_ratio_default", "select pair_id from parallel_ing_rus where ing is not null and rus is not null and greatest(length(ing), length(rus)) / cast(greatest(least(length(ing), length(rus)), 1) as double) <= 5")
+def p14_default(spark, d):
+    """With the documented bound."""
+    return table(spark, d, PAR).where("ing is not null and rus is not null").where(O.ratio_at_most(F.col("ing"), F.col("rus"), 5)).select("pair_id")
+
+
 @C.add("P14_symmetric_ratio", "select pair_id from parallel_ing_rus where ing is not null and rus is not null and greatest(length(ing), length(rus)) / cast(greatest(least(length(ing), length(rus)), 1) as double) <= 1.2")
 def p14(spark, d):
     return table(spark, d, PAR).where("ing is not null and rus is not null").where(O.ratio_at_most(F.col("ing"), F.col("rus"), 1.2)).select("pair_id")
