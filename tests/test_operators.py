@@ -318,3 +318,38 @@ def test_cleaned_dictionary(spark):
     assert {r.word for r in LQ.cleaned_dictionary(pairs, known).collect()} == {"а", "б", "г"}
     labels = spark.createDataFrame([("а", "B"), ("б", "B")], "word string, label string")
     assert {r.word for r in LQ.cleaned_dictionary(pairs, known, labels).collect()} == {"б", "г"}
+
+
+def test_numbered_sections_brute_force(spark):
+    from lexloom.functions import words as W
+
+    rng = random.Random(21)
+    pieces = ["1", "2.", " 17 ", "345", "4567", "12. с текстом", "Это строка текста, и она достаточно длинна.", "коротко", "", "ещё одна длинная строка без точки в конце"]
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(80)]
+
+    def sections(text):
+        found, now = [], None
+        for line in text.split("\n"):
+            t = line.strip()
+            n = t.removesuffix(".")
+            if n.isdigit() and len(n) <= 3:
+                now = [int(n), []]
+                found.append(now)
+            elif now:
+                now[1].append(line)
+        return [(n, "\n".join(x).strip()) for n, x in found if len("\n".join(x).strip()) >= 30]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: [(x.num, x.body) for x in r.s] for r in df.select("id", W.numbered_sections(F.col("t")).alias("s")).collect()}
+    assert got == {k: sections(t) for k, t in enumerate(texts)}
+
+
+def test_container_paragraphs(spark):
+    pages = [
+        (1, '<p>before</p><div class="cm-single-description"><p>first paragraph</p><p>short</p><div><p>second  <b>bold</b>\n one</p></div></div><p>after all of it</p>', "first paragraph\n\nsecond bold one"),
+        (2, "<p>no container at all</p>", ""),
+        (3, '<div class="cm-single-description"></div><p>after all of it</p>', ""),
+    ]
+    df = spark.createDataFrame([(k, h) for k, h, _ in pages] + [(4, None)], "id int, html string")
+    got = {r.id: r.text for r in H.container_paragraphs(df, "id", "html").collect()}
+    assert got == {**{k: t for k, _, t in pages}, 4: None}  # paragraphs of ten characters or fewer are left out
