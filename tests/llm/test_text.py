@@ -114,6 +114,27 @@ def test_grid(spark):
     assert {f: {w: c for w, c in o.items() if c <= least[f] + 2 * P1.BESIDE} for f, o in cut.items()} == one and len(one) > 10
 
 
+def test_retrieval_over_shards(spark):
+    # what is found in one part of the vocabulary bounds the search in every other: no word that can't win comes out
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("абвгм") for _ in range(rng.choice([1, 2, 3, 6, 6, 7, 8]))) for _ in range(400)})
+    words += ["абвгм" * 6, "абвгм" * 6 + "а", "бвгм" * 500]
+    counts = [rng.choice([1, 3, 40, 10**6]) for _ in words]
+    forms = [w[:1] + "b" + w[2:] for w in words[::5]] + ["абвгм" * 3 + "b" + "абвгм" * 3, "бвгm" + "бвгм" * 499 + "б"]
+    trie = P1.Trie(words, counts)
+    exact = {f: dict(c) for f in forms if (c := trie.candidates(f))}
+    left, right = spark.createDataFrame([(f,) for f in sorted(set(forms))], "form string"), spark.createDataFrame(list(zip(words, counts)), "w string, n bigint")
+    for cut in ((), (30, 4)):
+        got = {r.form: {o.w: o.cost for o in r.options} for r in P1.retrieve(left, right, *cut).collect()}
+        assert got.keys() == exact.keys() and all(got[f].keys() == exact[f].keys() for f in got) and len(got) > 50
+        assert all(abs(got[f][w] - c) < 1e-9 for f in got for w, c in exact[f].items())
+    for k in range(3):
+        for f in forms:
+            near = {words[i] for r in P1.units(f) if k < 2 or len(r) > 5 for i, _ in trie.within(r, k)}
+            assert all(P1.form_keys(f, k) & P1.word_keys(w, k) for w in near)
+    assert P1.retrieve(left, right.where("n < 0")).count() == 0 and P1.retrieve(left.where("form = ''"), right).count() == 0
+
+
 def test_scan_frame(spark):
     rows = [(1, None, "x", "f", 1), (2, "", "x", "f", 1), (3, "кхоле-\nмаш мартад", "x", "f", 1), (3, "кхоле-\nмаш мартад", "x", "f", 1)]
     df = spark.createDataFrame(rows, "id bigint, t string, text string, form string, joined int")
