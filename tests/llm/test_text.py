@@ -362,6 +362,26 @@ def test_long_pairs(spark):
     assert len(found & right) > 2900 and len(found - right) < 150
 
 
+def test_counts_of_all_pairs(spark):
+    # words, stems and their meetings are counted over all pairs: a word of three pairs among 21,000 has its translation
+    rng = random.Random(9)
+    words = ["".join(rng.choice("абвгдежз") for _ in range(6)) for _ in range(300)]
+    pairs = [(" ".join(x := rng.sample(words, 3)), " ".join("п" + w for w in x)) for _ in range(21_000)]
+    for k in range(30):
+        for at in rng.sample(range(len(pairs)), 3):
+            pairs[at] = (f"{pairs[at][0]} редко{'ъ' * (k + 1)}", f"{pairs[at][1]} {chr(0x430 + k) * 5}")
+    pairs += [("", "пусто"), ("слово", ""), ("слово " * 130, "перевод " * 90)]
+    entries = [("бор", "лес"), ("бор", "роща")]
+    df, dictionary = spark.createDataFrame([(k, *x) for k, x in enumerate([*pairs, (None, "нет")])], "i int, a string, b string").repartition(3), spark.createDataFrame(entries, "word string, translation string")
+    exact = P7.Lexicon(pairs, entries)
+    for block in (P7.BLOCK, 5000):
+        lex = P7.learn(df, dictionary, "i", "a", "b", block)
+        assert (lex.of, lex.left, lex.rarity, lex.unseen) == (exact.of, exact.left, exact.rarity, exact.unseen)
+    assert sum(1 for k in range(30) if exact.of.get("редко" + "ъ" * (k + 1))) == 30
+    none = P7.learn(df.where("i < 0"), dictionary.where("word = ''"), "i", "a", "b")
+    assert (none.of, none.left, none.rarity) == ({}, {}, {})
+
+
 def test_alignment():
     lex = P7.Lexicon([("хьарга шоргар", "дом построил"), ("хьарга мартад", "дом купил"), ("кхолем шоргар", "сад построил"), ("кхолем мартад", "сад купил")] * 3, [("бор", "лес")])
     a = "Ивановало хьарга шоргар.\nПетровало бор мартад. Сидоровало кхолем шоргар.\n\nЛишний хьо."
